@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .secrets import op1_secrets
 from .simhash import op4_simhash
+from .urls import OP6_SQL, op6_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_simhash": op4_simhash}
+    return {
+        "op1_secrets": op1_secrets,
+        "op4_simhash": op4_simhash,
+        "op6_url_filter": op6_url_filter,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filter": OP6_SQL}
