@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op10_decontaminate
+from .pii import op9_pii
 from .secrets import op1_secrets
 from .simhash import op4_simhash
 from .urls import OP6_SQL, op6_url_filter
@@ -16,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secrets": op1_secrets,
         "op4_simhash": op4_simhash,
         "op6_url_filter": op6_url_filter,
+        "op9_pii": op9_pii,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
