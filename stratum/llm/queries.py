@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op10_decontaminate
+from .mixing import op8_mixing
 from .pii import op9_pii
+from .quality import op7_quality
 from .secrets import op1_secrets
 from .simhash import op4_simhash
 from .urls import OP6_SQL, op6_url_filter
@@ -18,6 +20,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secrets": op1_secrets,
         "op4_simhash": op4_simhash,
         "op6_url_filter": op6_url_filter,
+        "op7_quality": op7_quality,
+        "op8_mixing": op8_mixing,
         "op9_pii": op9_pii,
         "op10_decontaminate": op10_decontaminate,
     }
