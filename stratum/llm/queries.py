@@ -7,18 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op10_decontaminate
+from .linedup import op3_line_dedup
 from .mixing import op8_mixing
 from .pii import op9_pii
 from .quality import op7_quality
 from .secrets import op1_secrets
 from .simhash import op4_simhash
+from .toolcalls import op5_chat_format
 from .urls import OP6_SQL, op6_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
+        "op3_line_dedup": op3_line_dedup,
         "op4_simhash": op4_simhash,
+        "op5_chat_format": op5_chat_format,
         "op6_url_filter": op6_url_filter,
         "op7_quality": op7_quality,
         "op8_mixing": op8_mixing,
