@@ -15,11 +15,13 @@ from .secrets import op1_secrets
 from .simhash import op4_simhash
 from .toolcalls import op5_chat_format
 from .urls import OP6_SQL, op6_url_filter
+from .vectors import op2_embedding_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
+        "op2_embedding_dedup": op2_embedding_dedup,
         "op3_line_dedup": op3_line_dedup,
         "op4_simhash": op4_simhash,
         "op5_chat_format": op5_chat_format,
