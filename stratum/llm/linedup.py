@@ -47,7 +47,7 @@ def _repeated(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ids = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").orderBy("h1", "h2")
     ids = cut(ids.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.monotonically_increasing_id().alias("r")))
     words = F.regexp_count("line", F.lit(WORD)).cast("long")
-    met = lines.select("d", "t", "pos", "h1", "h2", words.alias("w")).join(ids, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
+    met = lines.select("d", "t", "pos", "h1", "h2", words.alias("w")).join(ids.hint("merge"), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
     return cut(met.select("d", "t", "pos", "w", "r").distinct())
 
 
@@ -130,7 +130,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     """docs with the later copies taken out of the text; count_col is added with the number of lines deleted, and
     length_col, a column of docs, is set to the new length where the text changed."""
     gone = cut(deleted_lines(docs, min_words, id_col, text_col)).select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("gone").alias("__gone"))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("__d")) & (F.xxhash64(docs[text_col]) == F.col("__t")), "left")
+    joined = docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(F.col("__d")) & (F.xxhash64(docs[text_col]) == F.col("__t")), "left")
     kept = F.filter(F.split(docs[text_col], "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i))
     new = F.when(F.col("__gone").isNull(), docs[text_col]).otherwise(F.array_join(kept, "\n"))
     out = []
