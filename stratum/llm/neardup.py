@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     clusters = cut(candidate_clusters(known))
     wanted = cut(known.join(clusters, known["id"] == clusters["node"]).select(F.col("id").alias("w_id"), F.col("t").alias("w_t"), "root"))
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = text.join(wanted, (F.col("id") == F.col("w_id")) & (F.xxhash64("text") == F.col("w_t"))).select("root", "id", "text")
+    sets = text.join(wanted.hint("merge"), (F.col("id") == F.col("w_id")) & (F.xxhash64("text") == F.col("w_t"))).select("root", "id", "text")
     tiles = _tiled(sets, wanted, ["root"], CLUSTER)
     dealt = tiles.repartition("root", "tile").sortWithinPartitions("root", "tile")
     links = components(dealt.select("root", "tile", "id", "text").mapInPandas(_verify, "a long, b long"))
@@ -160,4 +160,4 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """Of each group of near-duplicates the row with the smallest id, with all its columns."""
     found = near_duplicates(docs, id_col, text_col)
     copies = cut(found.where("id IS NOT NULL AND id <> component").select(F.col("id").alias("__c_id"), F.col("t").alias("__c_t")).distinct())
-    return docs.join(copies, (docs[id_col].cast("long") == F.col("__c_id")) & (F.xxhash64(docs[text_col]) == F.col("__c_t")), "left_anti")
+    return docs.join(copies.hint("merge"), (docs[id_col].cast("long") == F.col("__c_id")) & (F.xxhash64(docs[text_col]) == F.col("__c_t")), "left_anti")
