@@ -23,7 +23,7 @@ DENSE = 8
 WORDS = 1 << 10
 #: A bucket gets a weight if so many labelled documents share it and its share of some label's documents differs
 #: from that of the rest by so many standard errors; others could only be learnt by heart.
-SHARED, ERRORS = 8, 4.5
+SHARED, ERRORS = 8, 12
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -88,7 +88,7 @@ class Sample:
             error = np.sqrt(p * (1 - p) * (1 / per[label] + 1 / (n - per[label])))
             best = np.maximum(best, np.abs(own / per[label] - (have - own) / (n - per[label])) / error)
         telling &= best >= ERRORS
-        telling[:WORDS] = True
+        telling[:DENSE] = True
         pick = telling[self.idx]
         out = Sample([], self.labels)
         out.rows, out.row, out.idx, out.value = n, self.row[pick], self.idx[pick], self.value[pick]

@@ -48,7 +48,7 @@ class Ordinal:
         return _sigmoid(self.weights[idx] @ value - self.thresholds)
 
 
-def fit(sample: Sample, y: np.ndarray, rounds: int = 200, rate: float = 0.05, ridge: float = 1e-4) -> Ordinal:
+def fit(sample: Sample, y: np.ndarray, rounds: int = 400, rate: float = 0.1, ridge: float = 1e-4) -> Ordinal:
     """Maximum likelihood by Adam; rare grades weigh in more than their number of rows."""
     weights, gaps = np.zeros(BUCKETS), np.array([0.0, 0.0])
     if len(set(y.tolist())) < 2:
