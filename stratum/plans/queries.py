@@ -13,6 +13,7 @@ from ..engine import Engine
 from ..functions import hlc
 from ..functions.sortable import sortable_key
 from ..operators import versions as v
+from ..sources.tables import read_table as read
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 LINE_KEY, LINE_VERSION = ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_suppkey"]
@@ -36,10 +37,6 @@ insert into shop.pairs { a: 1, b: "x", c: false };
 _LATEST = "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def scratch(spark: SparkSession) -> str:
     """A fresh folder that the cluster shares; a local one only where none is configured."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
