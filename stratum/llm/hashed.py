@@ -22,7 +22,7 @@ DENSE = 8
 #: Words' buckets start here; shapes of words stand before.
 WORDS = 1 << 10
 #: A bucket gets a weight if so many labelled documents share it and its share of some label's documents differs
-#: from that of the rest by so many standard errors; others could only be learnt by heart.
+#: from that of the rest by so many standard errors (fewer in a small sample); others could only be learnt by heart.
 SHARED, ERRORS = 8, 12
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -87,7 +87,7 @@ class Sample:
             own = np.bincount(self.idx[y[self.row] == label], minlength=BUCKETS)
             error = np.sqrt(p * (1 - p) * (1 / per[label] + 1 / (n - per[label])))
             best = np.maximum(best, np.abs(own / per[label] - (have - own) / (n - per[label])) / error)
-        telling &= best >= ERRORS
+        telling &= best >= min(ERRORS, 0.35 * math.sqrt(n))  # in a small sample no difference reaches many errors
         telling[:DENSE] = True
         pick = telling[self.idx]
         out = Sample([], self.labels)
