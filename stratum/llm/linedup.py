@@ -99,7 +99,7 @@ def _same(left: str, right: str):
 
 
 def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(d, t, gone array<int>): for each document that loses lines, their places."""
+    """(d, t, gone array<struct<pos,stop>>): for each document that loses lines, the stretches of them, stop exclusive."""
     stretched = cut(_stretches(_repeated(docs, id_col, text_col), min_words))
     runs = cut(_shortest(stretched, min_words))
     longest = runs.agg(F.max("n")).first()[0] or 0
@@ -116,14 +116,34 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
         if step <= longest:
             ranks = _doubled(ranks, step // 2)
     if not parts:
-        return stretched.limit(0).select("d", "t", F.array("pos").alias("gone"))
+        return _islands(stretched.limit(0).select("d", "t", "pos", F.col("pos").alias("stop")))
     named = cut(reduce(DataFrame.unionByName, parts))
     first = named.groupBy("n", "k", "ra", "rz").agg(F.min(F.struct(*_POS)).alias("first"), F.count("*").alias("times")).where("times > 1")
     first = cut(first.select(F.col("n").alias("fn"), F.col("k").alias("fk"), F.col("ra").alias("fa"), F.col("rz").alias("fz"), "first"))
     same = (F.col("n") == F.col("fn")) & (F.col("k") == F.col("fk")) & (F.col("ra") == F.col("fa")) & (F.col("rz") == F.col("fz"))
     later = named.join(first, same).where(F.struct(*_POS) != F.col("first"))
-    gone = later.select("d", "t", F.explode(F.sequence("pos", F.col("pos") + F.col("n") - 1)).alias("line")).distinct()
-    return gone.groupBy("d", "t").agg(F.collect_list("line").alias("gone"))
+    return _islands(later.select("d", "t", "pos", (F.col("pos") + F.col("n")).alias("stop")))
+
+
+def _islands(runs: DataFrame) -> DataFrame:
+    """(d, t, gone array<struct<pos,stop>>): the union of each document's runs (d, t, pos, stop) as stretches in order,
+    stop exclusive. Runs are united as they stand, never line by line, so long overlapping ones cost a row each."""
+    by_doc = W.partitionBy("d", "t").orderBy("pos", "stop")
+    reach = F.max("stop").over(by_doc.rowsBetween(W.unboundedPreceding, -1))
+    opens = F.when(reach >= F.col("pos"), 0).otherwise(1)
+    numbered = runs.withColumn("opens", opens).withColumn("island", F.sum("opens").over(by_doc.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    united = numbered.groupBy("d", "t", "island").agg(F.min("pos").alias("pos"), F.max("stop").alias("stop"))
+    return united.groupBy("d", "t").agg(F.sort_array(F.collect_list(F.struct("pos", "stop"))).alias("gone"))
+
+
+def _kept_text(text, gone):
+    """The text without the stretches: the lines between them are sliced out, one slice for each gap."""
+    starts = F.concat(F.array(F.lit(0)), F.transform(gone, lambda g: g["stop"]))
+    stops = F.concat(F.transform(gone, lambda g: g["pos"]), F.array(F.lit(2**31 - 1)))
+    gaps = F.arrays_zip(starts.alias("a"), stops.alias("b"))
+    # The lines are split once: as an element they are bound by the outer function, not split again for every gap.
+    kept = F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.flatten(F.transform(gaps, lambda g: F.slice(lines, g["a"] + 1, g["b"] - g["a"]))))
+    return F.array_join(kept[0], "\n")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None, length_col: str | None = None) -> DataFrame:
@@ -131,8 +151,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     length_col, a column of docs, is set to the new length where the text changed."""
     gone = cut(deleted_lines(docs, min_words, id_col, text_col)).select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("gone").alias("__gone"))
     joined = docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(F.col("__d")) & (F.xxhash64(docs[text_col]) == F.col("__t")), "left")
-    kept = F.filter(F.split(docs[text_col], "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    new = F.when(F.col("__gone").isNull(), docs[text_col]).otherwise(F.array_join(kept, "\n"))
+    new = F.when(F.col("__gone").isNull(), docs[text_col]).otherwise(_kept_text(docs[text_col], F.col("__gone")))
     out = []
     for c in docs.columns:
         if c == text_col:
@@ -142,7 +161,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
         else:
             out.append(docs[c])
     if count_col:
-        out.append(F.coalesce(F.size("__gone"), F.lit(0)).alias(count_col))
+        lost = F.aggregate("__gone", F.lit(0), lambda n, g: n + g["stop"] - g["pos"])
+        out.append(F.coalesce(lost, F.lit(0)).alias(count_col))
     return joined.select(*out)
 
 

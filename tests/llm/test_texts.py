@@ -148,6 +148,15 @@ def test_line_dedup_cases(spark):
     assert linedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_long_stretches_of_blank_lines(spark):
+    body = "\n" * 20_000 + "w " * 60 + "\n" * 20_000
+    rows = [(1, body + "end one"), (2, "start two" + body), (3, "x" + body + "y")]
+    got = {r.doc_id: (r.text, r.n) for r in linedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), count_col="n").collect()}
+    assert got[1] == (rows[0][1], 0)
+    assert got[2] == ("start two\n", 39_999)  # one blank line more follows than in the first document
+    assert got[3] == ("x\ny", 39_999)
+
+
 def test_chat_format(spark):
     call = lambda *c: json.dumps({"tool_calls": [{"id": i, "name": n, "arguments": a} for i, n, a in c]})
     result = lambda i, c: json.dumps({"tool_call_id": i, "content": c})
