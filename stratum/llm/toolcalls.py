@@ -5,14 +5,17 @@ result ``{"tool_call_id", "content"}`` in a tool's turn; all other text is plain
 conversation and identifier. Arguments are checked against the tool's schema: required ones present, none
 unknown, each of its type. Calls are ordered topologically: one that names another call's result in its arguments
 (``"$id"``) stands behind it, level by level, levels found in as many joins as the longest chain; a call on a
-cycle has no level. Every conversation then gives one line of canonical JSON: keys sorted, no spaces, messages by
-turn, calls by level, then by turn, place and identifier, each with its result.
+cycle has no level. Every conversation then gives canonical JSON: keys sorted, no spaces, messages by turn, calls by
+level, then by turn, place and identifier, each with its result. A conversation of up to PART messages and calls is one
+line; a longer one gives a line for every PART of them, numbered in the column part, and joining the lists of its lines in
+that order gives the whole. Places in a long conversation come from one sort of all long ones, whose ranges cut through
+conversations, so that no task and no row holds an unbounded one.
 
 Cases: a null role is "unknown" and a null text is empty; a null turn comes first, equal turns are ordered by role and text;
 repeated rows are messages of their own; turns with a null conv_id form one conversation; an identifier used twice in
 a conversation links its first result (by turn, then content); a call without a result has null, a result without a call is counted as an
 orphan and stays as plain text; broken JSON is plain text; an empty table gives an empty result; other columns are not
-looked at. A conversation's messages meet in one row, so a conversation must fit in memory, as it must anywhere.
+looked at. The counts of a line are those of its own messages and calls; orphans are counted on line 0.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from .common import cut, table
 
@@ -29,6 +33,8 @@ SCHEMAS = {
     "weather": {"city": ("string", True), "days": ("integer", False)},
     "calculator": {"expression": ("string", True)},
 }
+#: Messages, and calls, of one line at most.
+PART = 512
 _CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string>>>"
 _RESULT = "struct<tool_call_id:string,content:string>"
 
@@ -141,8 +147,28 @@ def levels(calls: DataFrame) -> DataFrame:
     return out.groupBy("conv_id", "id").agg(F.min("level").alias("level"))
 
 
-def format_chats(turns: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] = SCHEMAS) -> DataFrame:
-    """(conv_id, n_turns, n_calls, n_linked, n_invalid, n_cyclic, n_orphans, json), one row per conversation."""
+def in_parts(rows: DataFrame, order: list, most: int) -> DataFrame:
+    """rows with part: their place in their conversation's order, in lots of most.
+
+    Long conversations are sorted together by ranges that may cut through one, and a row's place is its place in the
+    range plus the conversation's rows in the ranges before; of these there are at most as many as ranges.
+    """
+    long = cut(rows.groupBy(F.col("conv_id").alias("p_conv")).agg(F.count("*").alias("n")).where(F.col("n") > most).select("p_conv"))
+    short = rows.join(long, F.col("conv_id").eqNullSafe(F.col("p_conv")), "left_anti").withColumn("part", F.lit(0).cast("long"))
+    if long.isEmpty():
+        return short
+    mine = rows.join(long, F.col("conv_id").eqNullSafe(F.col("p_conv")), "left_semi").orderBy("conv_id", *order)
+    mine = cut(mine.withColumn("at", F.monotonically_increasing_id()).withColumn("range", F.shiftright("at", 33)))
+    ranges = mine.groupBy("conv_id", "range").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    earlier = F.sum("n").over(W.partitionBy("conv_id").orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+    starts = ranges.select(F.col("conv_id").alias("r_conv"), F.col("range").alias("r_range"), (F.coalesce(earlier, F.lit(0)) - F.col("first")).alias("shift"))
+    placed = mine.join(cut(starts), F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("range") == F.col("r_range")))
+    return short.unionByName(placed.select(*rows.columns, F.floor((F.col("at") + F.col("shift")) / most).cast("long").alias("part")))
+
+
+def format_chats(turns: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] = SCHEMAS, most: int = PART) -> DataFrame:
+    """(conv_id, part, n_turns, n_calls, n_linked, n_invalid, n_cyclic, n_orphans, json), a row for each conversation, or
+    for each part of one with more than most messages or calls."""
     said = messages(turns)
     calls, results = calls_and_results(said)
     checked = cut(validated(calls, schema_table(turns.sparkSession, schemas)))
@@ -156,29 +182,34 @@ def format_chats(turns: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]
         F.lit(',"name":'), quoted(F.col("name")), F.lit(',"result":'), result, F.lit(',"valid":'), F.col("valid").cast("string"), F.lit("}"),
     )
     key = F.struct(F.coalesce("level", F.lit(2**31 - 1)).alias("level"), F.col("turn"), F.col("place"), F.col("id"), call_json.alias("json"))
-    per_conv = linked.groupBy("conv_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["json"]), ",").alias("calls"),
+    asked = cut(linked.select("conv_id", key.alias("key"), F.col("r_id").isNotNull().alias("met"), "valid", F.col("level").isNull().alias("cyclic")))
+    per_part = in_parts(asked, ["key"], most).groupBy("conv_id", "part").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("key")), lambda x: x["json"]), ",").alias("calls"),
         F.count("*").alias("n_calls"),
-        F.count("r_id").alias("n_linked"),
-        F.sum((~F.col("valid")).cast("long")).alias("n_invalid"),
-        F.sum(F.col("level").isNull().cast("long")).alias("n_cyclic"),
+        F.count_if("met").alias("n_linked"),
+        F.count_if(~F.col("valid")).alias("n_invalid"),
+        F.count_if("cyclic").alias("n_cyclic"),
     )
     known = checked.select(F.col("conv_id").alias("k_conv"), F.col("id").alias("k_id")).distinct()
     orphans = first.join(known, F.col("r_conv").eqNullSafe(F.col("k_conv")) & (F.col("r_id") == F.col("k_id")), "left_anti").groupBy("r_conv").agg(F.sum("n").alias("n_orphans"))
     message = F.concat(F.lit('{"content":'), quoted(F.col("text")), F.lit(',"role":'), quoted(F.col("role")), F.lit("}"))
-    convs = said.groupBy("conv_id").agg(
+    place = F.struct(F.coalesce("turn", F.lit(-(2**63))).alias("turn"), "role", "text", message.alias("json"))
+    convs = in_parts(said, ["turn", "role", "text"], most).groupBy("conv_id", "part").agg(
         F.count("*").alias("n_turns"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(2**63))).alias("turn"), "role", "text", message.alias("json")))), lambda x: x["json"]), ",").alias("messages"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["json"]), ",").alias("messages"),
     )
-    c = cut(per_conv).withColumnRenamed("conv_id", "c_conv")
+    c = cut(per_part).withColumnRenamed("conv_id", "c_conv").withColumnRenamed("part", "c_part")
     o = cut(orphans).withColumnRenamed("r_conv", "o_conv")
-    out = convs.join(c, F.col("conv_id").eqNullSafe(F.col("c_conv")), "left").join(o, F.col("conv_id").eqNullSafe(F.col("o_conv")), "left")
+    # A conversation may have more parts of calls than of messages.
+    both = convs.join(c, F.col("conv_id").eqNullSafe(F.col("c_conv")) & (F.col("part") == F.col("c_part")), "full")
+    both = both.withColumn("conv_id", F.coalesce("conv_id", "c_conv")).withColumn("part", F.coalesce("part", "c_part"))
+    out = both.join(o, F.col("conv_id").eqNullSafe(F.col("o_conv")) & (F.col("part") == 0), "left")
     zero = lambda n: F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n)
     line = F.concat(
-        F.lit('{"conv_id":'), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.lit(',"messages":['), "messages",
+        F.lit('{"conv_id":'), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.lit(',"messages":['), F.coalesce("messages", F.lit("")),
         F.lit('],"tool_calls":['), F.coalesce("calls", F.lit("")), F.lit("]}"),
     )
-    return out.select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), zero("n_calls"), zero("n_linked"), zero("n_invalid"), zero("n_cyclic"), zero("n_orphans"), line.alias("json"))
+    return out.select("conv_id", "part", zero("n_turns"), zero("n_calls"), zero("n_linked"), zero("n_invalid"), zero("n_cyclic"), zero("n_orphans"), line.alias("json"))
 
 
 def op5_chat_format(spark, sf_dir: str) -> DataFrame:

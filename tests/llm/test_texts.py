@@ -178,6 +178,22 @@ def test_chat_format(spark):
     assert toolcalls.format_chats(df.limit(0)).count() == 0
 
 
+def test_long_chats_are_dealt_in_parts(spark):
+    call = lambda i: json.dumps({"tool_calls": [{"id": f"c{i}", "name": "weather", "arguments": {"city": f"$c{i - 1}"}}] if i % 3 else []})
+    rows = [(c, t % 20, "assistant" if t % 2 else "user", call(t) if t % 2 else f"turn {t}") for c, n in ((1, 37), (2, 3), (None, 12), (3, 5)) for t in range(n)]
+    many = json.dumps({"tool_calls": [{"id": f"m{i}", "name": "weather", "arguments": {"city": "x"}} for i in range(11)]})
+    df = spark.createDataFrame([*rows, (4, 0, "assistant", many)], "conv_id long, turn long, role string, text string").repartition(5)
+    whole = {r.conv_id: json.loads(r.json) for r in toolcalls.format_chats(df).collect()}
+    parts = sorted(toolcalls.format_chats(df, most=4).collect(), key=lambda r: (str(r.conv_id), r.part))
+    assert len(parts) > len(whole) == 5
+    for i, want in whole.items():
+        mine = [r for r in parts if r.conv_id == i]
+        assert [r.part for r in mine] == list(range(len(mine)))
+        for k, n in (("messages", "n_turns"), ("tool_calls", "n_calls")):
+            lists = [json.loads(r.json)[k] for r in mine]
+            assert max(map(len, lists)) <= 4 and sum(lists, []) == want[k] and [len(x) for x in lists] == [r[n] for r in mine]
+
+
 def test_chat_plan_is_native(spark):
     plan = toolcalls.format_chats(table(spark, DATA, "conversations"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
