@@ -1,7 +1,8 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
 Vectors are normalised and equal ones collapse. Centres fitted on a bounded sample cut space into cells and every
-vector goes to its OVERLAP nearest ones, so that shards overlap. A shard beyond SHARD vectors is dealt into
+vector goes to its OVERLAP nearest ones, so that shards overlap. A shard beyond LARGE vectors is cut again by centres
+of its own, fitted on a bounded sample of it on the executors. A shard that is still beyond SHARD vectors is dealt into
 blocks by a hash. Each block builds a graph: near neighbours, robust-pruned to DEGREE edges. The lists that a
 vector got in its shards are united. Every vector is then a query in all blocks of all its shards: greedy search
 starts at the block's medoid, keeps a beam, and goes on from every vector within the range, so a dense group is
@@ -36,8 +37,11 @@ COSINE = 0.9
 #: Vectors of a block, and queries that meet it in one task.
 SHARD = 512
 OVERLAP, MORE = 2, 4
-#: Vectors that centres are fitted on, and centres, at most (with 64 numbers each, 4 MB are sent to every task).
-SAMPLE, CENTRES = 8192, 8192
+#: Vectors that centres are fitted on, and centres, at most (with 64 numbers each, half a megabyte is sent to every task).
+#: A centre is the mean of several vectors, so that those of one dense group lie together and become one.
+SAMPLE, CENTRES = 8192, 1024
+#: A shard of more vectors is cut again; its vectors meet its centres in chunks of about so many.
+LARGE, CHUNK = 4096, 32768
 #: Centres with a higher cosine are one.
 APART = 0.97
 DEGREE, NEAR, SLACK = 24, 64, 1.2
@@ -93,21 +97,69 @@ def fit_centres(sample: np.ndarray, count: int, rounds: int = 6, seed: int = 3)
     return centres[kept]
 
 
+def nearest(x: np.ndarray, centres: np.ndarray, most: int) -> np.ndarray:
+    """(n, most) centres by falling cosine, found in slices of bounded memory."""
+    k = min(most, len(centres))
+    out = np.empty((len(x), k), np.int64)
+    for at in range(0, len(x), 1024):
+        score = x[at : at + 1024].astype(np.float32) @ centres.T
+        top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+        out[at : at + 1024] = np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, axis=1), axis=1, kind="stable"), axis=1)
+    return out
+
+
+_DEALT = "dim int, shard int, id long, x binary"
+
+
 def _assigned(nodes: DataFrame, centres: dict[int, np.ndarray], overlap: int) -> DataFrame:
-    """(dim, shard, nth, id, x) of each node for its nearest centres."""
+    """(dim, shard, id, x) of each node for its nearest centres."""
     sent = nodes.sparkSession.sparkContext.broadcast(centres)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for dim, part in pdf.groupby("dim"):
-                middle = sent.value[int(dim)]
-                score = _matrix(part["x"]).astype(np.float32) @ middle.T
-                k = min(overlap, score.shape[1])
-                near = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                for nth in range(k):
-                    yield pd.DataFrame({"dim": part["dim"], "shard": near[:, nth], "nth": nth, "id": part["id"], "x": part["x"]})
+                near = nearest(_matrix(part["x"]), sent.value[int(dim)], overlap)
+                for nth in range(near.shape[1]):
+                    yield pd.DataFrame({"dim": part["dim"], "shard": near[:, nth], "id": part["id"], "x": part["x"]})
 
-    return nodes.select("id", "x", "dim").mapInPandas(each, "dim int, shard int, nth int, id long, x binary")
+    return nodes.select("id", "x", "dim").mapInPandas(each, _DEALT)
+
+
+def _divided(assigned: DataFrame, overlap: int) -> DataFrame:
+    """assigned with the shards beyond LARGE cut again; the new shards are numbered from CENTRES on.
+
+    The vectors of a shard are dealt to its centres in chunks, so a shard with a third of all rows is no single task.
+    """
+    shard, large, chunk, sample, centres = SHARD, LARGE, CHUNK, SAMPLE, CENTRES
+    sizes = cut(assigned.groupBy(F.col("dim").alias("s_dim"), F.col("shard").alias("s_shard")).agg(F.count("*").alias("n")).where(F.col("n") > large))
+    if sizes.isEmpty():
+        return assigned
+    here = (F.col("dim") == F.col("s_dim")) & (F.col("shard") == F.col("s_shard"))
+    big = assigned.join(sizes, here).select("dim", "shard", "id", "x", "n")
+    draw = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        count = min(-(-2 * int(pdf["n"].iloc[0]) // shard), centres, max(1, len(pdf) // 8))
+        found = fit_centres(_matrix(pdf["x"]), count)
+        return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "shard": pdf["shard"].iloc[:1], "n": pdf["n"].iloc[:1], "centres": [found.tobytes()]})
+
+    fitted = cut(big.where(draw * F.col("n") < sample).groupBy("dim", "shard").applyInPandas(fit, "dim int, shard int, n long, centres binary"))
+    chunks = F.ceil(F.col("n") / chunk).cast("int")
+    members = big.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit("chunk")), chunks.cast("long")).cast("int"))
+    told = fitted.select("dim", "shard", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "centres")
+
+    def deal(own: pd.DataFrame, its: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame({"dim": [], "shard": [], "id": [], "x": []}).astype({"dim": "int32", "shard": "int32", "id": "int64", "x": object})
+        x, dim = _matrix(own["x"]), int(own["dim"].iloc[0])
+        near = nearest(x, np.frombuffer(its["centres"].iloc[0], np.float32).reshape(-1, dim), overlap)
+        base = (int(own["shard"].iloc[0]) + 1) * centres
+        return pd.concat([pd.DataFrame({"dim": own["dim"], "shard": base + near[:, nth], "id": own["id"], "x": own["x"]}) for nth in range(near.shape[1])])
+
+    keys = ["dim", "shard", "chunk"]
+    again = members.select(*keys, "id", "x").groupBy(*keys).cogroup(told.groupBy(*keys)).applyInPandas(deal, _DEALT)
+    return assigned.join(sizes, here, "left_anti").unionByName(again)
 
 
 def robust_prune(x: np.ndarray, similar: np.ndarray, order: np.ndarray, degree: int = DEGREE, slack: float = SLACK) -> np.ndarray:
@@ -192,7 +244,7 @@ def _blocks(assigned: DataFrame) -> DataFrame:
     sizes = cut(assigned.groupBy("dim", "shard").agg(F.ceil(F.count("*") / F.lit(SHARD)).cast("int").alias("parts")))
     sizes = sizes.select(F.col("dim").alias("s_dim"), F.col("shard").alias("s_shard"), "parts")
     return assigned.join(sizes, (F.col("dim") == F.col("s_dim")) & (F.col("shard") == F.col("s_shard"))).select(
-        "dim", "shard", "nth", "id", "x", "parts", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int").alias("part")
+        "dim", "shard", "id", "x", "parts", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int").alias("part")
     )
 
 
@@ -238,7 +290,7 @@ def links(nodes: DataFrame, centres: dict[int, np.ndarray], overlap: int) -> Dat
 
     A vector's hits in a block are at most SHARD, so no row grows with the data.
     """
-    dealt = cut(_blocks(_assigned(nodes, centres, overlap)))
+    dealt = cut(_blocks(cut(_divided(cut(_assigned(nodes, centres, overlap)), overlap))))
     near = dealt.groupBy(*_BLOCK).applyInPandas(_graph, "id long, near array<long>")
     united = cut(near.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")).withColumnRenamed("id", "u_id"))
     chunk = F.sequence(F.lit(0), F.col("parts") - 1)

@@ -147,6 +147,27 @@ def test_embeddings(spark, monkeypatch):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_large_shards_of_embeddings_are_cut_again(spark, monkeypatch):
+    for name, value in (("SHARD", 32), ("CENTRES", 4), ("LARGE", 48), ("CHUNK", 40)):
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(50, 16))
+    rows = [(k, [float(x) for x in base[k % 50] + rng.normal(size=16) * 0.12]) for k in range(500)]
+    rows += [(600 + k, [float(x) for x in base[0] + rng.normal(size=16) * 0.2]) for k in range(120)]  # one dense group
+    rows += [(900, [1.0, 2.0]), (901, [2.0, 4.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.id: (r.n_links, r.component) for r in vectors.near_vectors(df).collect()}
+    want = brute_links(rows)
+    assert all(got[i][0] <= want[i][0] for i in want) and got[900] == (1, 900)
+    assert sum(got[i][0] for i in want) >= 0.9 * sum(n for n, _ in want.values())
+    nodes = vectors._units(df.selectExpr("vec_id AS id", "embedding AS v"))
+    centres = {16: vectors.fit_centres(np.array([vectors.unit(v) for i, v in rows if i < 900]), 4), 2: np.array([vectors.unit([1.0, 2.0])], np.float32)}
+    assigned = vectors._assigned(nodes, centres, 2).cache()
+    again = vectors._divided(assigned, 2)
+    assert again.where("shard >= 4").count() > 0 and again.select("id").distinct().count() == len(rows)
+    assert again.groupBy("dim", "shard", "id").count().where("count > 1").count() == 0
+
+
 def test_graph_search_recall():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(20, 32))[rng.integers(0, 20, 400)] + 0.25 * rng.normal(size=(400, 32))
