@@ -14,6 +14,8 @@ import numpy as np
 
 from .spans import PII_KINDS
 
+#: Words of a batch, those that pad it included; a longer sentence is a batch of its own.
+BATCH = 1 << 15
 LABELS = ("O", *(f"{p}-{k}" for k in PII_KINDS for p in "BI"))
 
 #: The labelled table: sentences with their personal data marked as [kind text]; 9 stands for any digit.
@@ -124,19 +126,25 @@ class Crf:
         return out
 
     def decode(self, sentences: Sequence[Sequence[str]]) -> list[np.ndarray]:
-        """Viterbi labels of every sentence, in batches of like length; outside a sentence stands O."""
+        """Viterbi labels of every sentence, in batches of like length that hold up to BATCH words with what pads them; outside a sentence stands O."""
         out: list[np.ndarray] = [np.zeros(0, dtype=int)] * len(sentences)
-        order = sorted(range(len(sentences)), key=lambda i: len(sentences[i]))
-        for at in range(0, len(order), 512):
-            part = [i for i in order[at : at + 512] if sentences[i]]
-            if not part:
-                continue
+        part: list[int] = []
+
+        def settle() -> None:
             lengths = np.array([len(sentences[i]) for i in part])
             emit = np.zeros((len(part), lengths.max(), len(LABELS)))
             for r, i in enumerate(part):
                 emit[r, : lengths[r]] = self.scores(sentences[i])
             for r, path in enumerate(_viterbi(emit, lengths, self.moves)):
                 out[part[r]] = path[: lengths[r]]
+
+        for i in sorted((i for i, s in enumerate(sentences) if s), key=lambda i: len(sentences[i])):
+            if part and (len(part) + 1) * len(sentences[i]) > BATCH:
+                settle()
+                part = []
+            part.append(i)
+        if part:
+            settle()
         return out
 
 

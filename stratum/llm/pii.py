@@ -11,7 +11,6 @@ result; other columns are not looked at.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .crf import Crf, trained
-from .spans import PII_KINDS, Span, digest, luhn, pii_spans
+from .spans import PII_KINDS, Span, covered, digest, free, luhn, pii_spans
 
 WINDOW = 2
 _ACTIVE = re.compile(r"[0-9@]+")
@@ -88,6 +87,7 @@ def added_spans(texts: list[str], base: list[list[Span]], crf: Crf) -> list[list
     """What the random field adds to each text."""
     places = [(i, s) for i, t in enumerate(texts) for s in stretches(t)]
     labels = crf.decode([[texts[i][a:b] for a, b in words] for i, words in places])
+    taken = [covered(b) for b in base]
     out: list[list[Span]] = [[] for _ in texts]
     for (i, words), path in zip(places, labels, strict=True):
         at = 0
@@ -101,7 +101,7 @@ def added_spans(texts: list[str], base: list[list[Span]], crf: Crf) -> list[list
                 end += 1
             span = _trim(texts[i], words[at][0], words[end - 1][1], kind)
             at = end
-            if span and _possible(PII_KINDS[kind], texts[i][span[0] : span[2]]) and _free(span, base[i]):
+            if span and _possible(PII_KINDS[kind], texts[i][span[0] : span[2]]) and free(taken[i], span[0], span[2]):
                 out[i].append(span)
     return out
 
@@ -115,11 +115,6 @@ def _trim(text: str, a: int, b: int, kind: int) -> Span | None:
     return (a, kind, b) if a < b else None
 
 
-def _free(span: Span, base: list[Span]) -> bool:
-    before = base[: bisect_right(base, (span[2],))]
-    return all(y <= span[0] for _, _, y in before)
-
-
 def pii_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base counts and digest, and all spans, of every document; see the module for the cases."""
     crf = trained()

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .spans import SECRET_KINDS, digest, secret_spans
+from .spans import SECRET_KINDS, covered, digest, free, secret_spans
 
 #: Kinds that the method adds, after the base ones.
 ADDED = ("private_key", "bearer", "opaque")
@@ -48,18 +48,15 @@ def _entropy(word: str) -> float:
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans that no base span overlaps, by start; the first kind that takes a place keeps it."""
-    out: list[tuple[int, int, int]] = []
-
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or y <= a for x, _, y in base) and all(b <= x or y <= a for x, _, y in out)
-
-    if "PRIVATE KEY" in text:
-        out += [(m.start(), 3, m.end()) for m in PRIVATE_KEY.finditer(text) if free(*m.span())]
+    taken = covered(base)
+    out = [(m.start(), 3, m.end()) for m in PRIVATE_KEY.finditer(text) if free(taken, *m.span())] if "PRIVATE KEY" in text else []
+    taken = covered([*base, *out])
     if "earer" in text:
-        out += [(m.start(1), 4, m.end(1)) for m in BEARER.finditer(text) if free(*m.span(1))]
+        out += [(m.start(1), 4, m.end(1)) for m in BEARER.finditer(text) if free(taken, *m.span(1))]
+        taken = covered([*base, *out])
     for m in OPAQUE.finditer(text):
         w = m[0]
-        if any(c.isupper() for c in w) and any(c.islower() for c in w) and _entropy(w) >= ENTROPY and free(*m.span()):
+        if any(c.isupper() for c in w) and any(c.islower() for c in w) and _entropy(w) >= ENTROPY and free(taken, *m.span()):
             out.append((m.start(), 5, m.end()))
     return sorted(out)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 Span = tuple[int, int, int]
 
@@ -33,6 +34,23 @@ def digest(spans: list[Span], kinds: tuple[str, ...]) -> tuple[str, str]:
     return text, hashlib.sha256(text.encode()).hexdigest()
 
 
+def covered(spans: list[Span]) -> list[tuple[int, int]]:
+    """The stretches that spans cover, in order, none reaching into another."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def free(taken: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether a to b overlaps none of the covered stretches: the last one that begins before b reaches farthest."""
+    at = bisect_left(taken, (b,))
+    return not at or taken[at - 1][1] <= a
+
+
 def secret_spans(text: str) -> list[Span]:
     """Base spans of secrets; a match that fails its condition is dropped and its characters are not searched again."""
     out = [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
