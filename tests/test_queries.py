@@ -34,3 +34,9 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 15
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(engine.queries()) <= set(entry.queries())
+
+
+def test_python_workers_find_the_package_wherever_the_driver_was_started(spark):
+    spark.sparkContext.environment.pop("PYTHONPATH", None)
+    entry.queries()["scan_region"](spark, DATA)
+    assert entry.HERE in spark.sparkContext.environment["PYTHONPATH"].split(":")
