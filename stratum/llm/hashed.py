@@ -24,11 +24,20 @@ WORDS = 1 << 10
 #: A bucket gets a weight if so many labelled documents share it and its share of some label's documents differs
 #: from that of the rest by so many standard errors (fewer in a small sample); others could only be learnt by heart.
 SHARED, ERRORS = 8, 12
+#: Letters of the two stems of a word, its beginnings if it is longer, and the share of a text's words from which a stem counts.
+STEM, OFTEN = (4, 5), 0.01
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Buckets(dict):
-    """word -> bucket of the bare word and, 20 bits up, bucket of what stands around its letters; filled as words are met."""
+    """word -> bucket of the bare word and, 20 bits up, bucket of what stands around its letters; filled as words are met.
+
+    With stems, vectors have them too.
+    """
+
+    def __init__(self, stems: bool = False):
+        super().__init__()
+        self.stems = Stems() if stems else None
 
     def __missing__(self, word: str) -> int:
         if word.isalpha():
@@ -41,6 +50,18 @@ class Buckets(dict):
         return out
 
 
+class Stems(dict):
+    """word -> bucket of its short stem and, 20 bits up, of its long one, 0 if the word is no longer than it; filled as words are met."""
+
+    def __missing__(self, word: str) -> int:
+        low = word.lower() if word.isalpha() else "".join(_LETTERS.findall(word)).lower()
+        if len(self) > 500_000:
+            self.clear()
+        short, long = (_word("\0" + low[:n]) if len(low) > n else 0 for n in STEM)
+        self[word] = out = short | long << 20
+        return out
+
+
 def _word(feature: str) -> int:
     return xxhash.xxh64_intdigest(feature.encode("utf-8", "surrogatepass"), 11) % (BUCKETS - WORDS) + WORDS
 
@@ -50,7 +71,8 @@ def _shape(feature: str) -> int:
 
 
 def vector(text: str, buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets in order, values) of a whole text: a few dense figures, the share of each shape, the words that occur.
+    """(buckets, values) of a whole text: a few dense figures, the share of each shape, the words that occur
+    and, if the buckets are made for it, the stems that make up more than OFTEN of the words.
 
     A text without words has the first dense figure only.
     """
@@ -64,6 +86,11 @@ def vector(text: str, buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
     distinct = len(set(words)) / n
     plain = sum(map(str.isalpha, words)) / n
     dense = [0.0, distinct, plain, math.log1p(n) / 8, float(n < 20), float(distinct < 0.3), len(text) / n / 8, float(plain < 0.5)]
+    if buckets.stems is not None:
+        both = np.fromiter(map(buckets.stems.__getitem__, words), np.int64, n)
+        stems, often = np.unique(np.r_[both & 0xFFFFF, both >> 20], return_counts=True)
+        stems = stems[(stems > 0) & (often > OFTEN * n)]
+        idx, value = np.r_[idx, stems], np.r_[value, np.ones(len(stems))]
     return np.r_[np.arange(DENSE), idx], np.r_[dense, value]
 
 
@@ -76,18 +103,18 @@ class Sample:
         self.idx = np.concatenate([i for i, _ in vectors]) if vectors else np.empty(0, int)
         self.value = np.concatenate([v for _, v in vectors]) if vectors else np.empty(0)
 
-    def select(self, y: np.ndarray) -> Sample:
+    def select(self, y: np.ndarray, shared: int = SHARED, errors: float = ERRORS) -> Sample:
         """This sample with the buckets alone that tell something of the labels y (numbers from 0)."""
         n, per = self.rows, np.bincount(y)
         have = np.bincount(self.idx, minlength=BUCKETS)
-        telling = have >= min(SHARED, max(1, n // 8))
+        telling = have >= min(shared, max(1, n // 8))
         p = np.clip(have / max(n, 1), 1e-9, 1 - 1e-9)
         best = np.zeros(BUCKETS)
         for label in np.nonzero((per > 0) & (per < n))[0]:
             own = np.bincount(self.idx[y[self.row] == label], minlength=BUCKETS)
             error = np.sqrt(p * (1 - p) * (1 / per[label] + 1 / (n - per[label])))
             best = np.maximum(best, np.abs(own / per[label] - (have - own) / (n - per[label])) / error)
-        telling &= best >= min(ERRORS, 0.35 * math.sqrt(n))  # in a small sample no difference reaches many errors
+        telling &= best >= min(errors, 0.35 * math.sqrt(n))  # in a small sample no difference reaches many errors
         telling[:DENSE] = True
         pick = telling[self.idx]
         out = Sample([], self.labels)
@@ -102,13 +129,13 @@ class Sample:
         return np.bincount(self.idx, weights=by_row[self.row] * self.value, minlength=BUCKETS)
 
 
-def text_sample(rows: list[tuple]) -> Sample:
+def text_sample(rows: list[tuple], stems: bool = False) -> Sample:
     """Of (text, label...) rows."""
-    buckets = Buckets()
+    buckets = Buckets(stems)
     return Sample([vector(t, buckets) for t, *_ in rows], [tuple(r) for _, *r in rows])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_cols: list[str], doc_cols: list[str], rows: int = LABELLED_ROWS) -> Sample:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_cols: list[str], doc_cols: list[str], rows: int = LABELLED_ROWS, stems: bool = False) -> Sample:
     """At most rows labelled documents, chosen by a hash of the id, so alike on every run: their whole texts as
     vectors, with the named columns of the labels and of the documents.
 
@@ -123,7 +150,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_cols: list[str], d
     n = len(names)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = Buckets()
+        buckets = Buckets(stems)
         for batch in batches:
             made = [vector(x.as_py(), buckets) for x in batch.column(n + 1)]
             idx = pa.array([i.astype(np.int32).tobytes() for i, _ in made], pa.binary())

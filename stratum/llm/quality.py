@@ -26,6 +26,9 @@ from .hashed import BUCKETS, LABELLED_ROWS, Buckets, Sample, labelled_sample, ve
 
 GRADES = 3
 KEEP = 0.5
+#: Labelled documents that share a bucket and standard errors of it that are asked here (see hashed.SHARED); LASSO
+#: draws the weights of what is left to 0.
+SHARED, ERRORS, LASSO = 5, 7, 3e-4
 
 
 def grade(quality: int, toxic: int) -> int:
@@ -48,12 +51,12 @@ class Ordinal:
         return _sigmoid(self.weights[idx] @ value - self.thresholds)
 
 
-def fit(sample: Sample, y: np.ndarray, rounds: int = 400, rate: float = 0.1, ridge: float = 1e-4) -> Ordinal:
+def fit(sample: Sample, y: np.ndarray, rounds: int = 400, rate: float = 0.1, ridge: float = 1e-4, lasso: float = LASSO) -> Ordinal:
     """Maximum likelihood by Adam; rare grades weigh in more than their number of rows."""
     weights, gaps = np.zeros(BUCKETS), np.array([0.0, 0.0])
     if len(set(y.tolist())) < 2:
         return Ordinal(weights, np.zeros(GRADES - 1))
-    sample, n = sample.select(y), sample.rows
+    sample, n = sample.select(y, SHARED, ERRORS), sample.rows
     have = np.bincount(y, minlength=GRADES)
     share = np.where(have > 0, n / np.maximum(1, have), 0) ** 0.5
     weight = share[y] / share[y].sum()
@@ -70,7 +73,10 @@ def fit(sample: Sample, y: np.ndarray, rounds: int = 400, rate: float = 0.1, rid
         for value, rise, m in zip((weights, gaps), rises, memory, strict=True):
             m[0] = 0.9 * m[0] + 0.1 * rise
             m[1] = 0.99 * m[1] + 0.01 * rise * rise
-            value += rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
+            pace = rate / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
+            value += pace * (m[0] / (1 - 0.9**step))
+            if value is weights:
+                value[:] = np.sign(value) * np.maximum(np.abs(value) - pace * lasso, 0)
     return Ordinal(weights, _ordered(gaps))
 
 
@@ -79,7 +85,7 @@ def _ordered(gaps: np.ndarray) -> np.ndarray:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Ordinal:
-    sample = labelled_sample(docs, labels, ["quality", "toxic"], [], rows)
+    sample = labelled_sample(docs, labels, ["quality", "toxic"], [], rows, stems=True)
     return fit(sample, np.array([grade(q, t) for q, t in sample.labels], dtype=int))
 
 
@@ -95,7 +101,7 @@ def judged(docs: DataFrame, model: Ordinal, columns: list[str], text_col: str =
     names = [f.name for f in out_fields] + ["__" + n for n in _NAMES]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = Buckets()
+        buckets = Buckets(stems=True)
         for batch in batches:
             tails = np.array([model.tails(x.as_py() or "", buckets) for x in batch.column(text_at)]).reshape(-1, GRADES - 1)
             arrays = [batch.column(i) for i in keep] + [pa.array(tails[:, 0]), pa.array(tails[:, 1]), pa.array(tails.sum(axis=1))]

@@ -265,6 +265,26 @@ def test_ordinal_holds_out():
     assert tails[0] >= tails[1]
 
 
+def test_toxic_stems_tell_documents_apart():
+    def stemmed(n, seed):
+        rng = random.Random(seed)
+        word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+        out = []
+        for _ in range(n):
+            bad = rng.random() < 0.08
+            words = [word() for _ in range(100)]
+            for k in rng.sample(range(100), 3 if bad else 0):
+                words[k] = "bomen" + word()  # the whole words differ
+            out.append((" ".join(words), 1 if bad else 2))
+        return out
+
+    sample = text_sample(stemmed(600, 1), stems=True)
+    model = quality.fit(sample, np.array([g for (g,) in sample.labels]))
+    b = Buckets(stems=True)
+    right = [((model.tails(t, b)[1] >= 0.5), g == 2) for t, g in stemmed(400, 2)]
+    assert np.mean([not kept for kept, good in right if not good]) > 0.9 and np.mean([kept for kept, good in right if good]) > 0.98
+
+
 def test_quality_stage(spark):
     rows = [(i, t, "en", "s") for i, (t, _) in enumerate(labelled(400, 2))] + [(900, None, None, None), (None, "the river", "en", "s")]
     labels = [(i, int(g > 0), int(g == 1)) for i, (_, g) in enumerate(labelled(400, 2))] + [(None, 1, 1), (3, None, 0)]
