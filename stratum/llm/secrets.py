@@ -1,7 +1,7 @@
 """Secret scan by corpus-wide ownership frequency.
 
 Every text is scanned once for the base kinds and for candidates: words of high entropy that no base pattern
-takes, private-key headers and bearer values. A candidate's hash is counted over distinct owners and
+takes, private keys with their bodies and bearer values. A candidate's hash is counted over distinct owners and
 repositories of the whole corpus. A value that many owners carry is a copied example; one that stays with an
 owner is live-looking and its span is added to the result. Base spans stay whatever their count, but are told
 apart in n_shared and n_owned.
@@ -30,7 +30,13 @@ from .spans import SECRET_KINDS, covered, digest, free, secret_spans
 #: Kinds that the method adds, after the base ones.
 ADDED = ("private_key", "bearer", "opaque")
 KINDS = SECRET_KINDS + ADDED
-PRIVATE_KEY = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+#: A private key's header, and the rest up to its END line or else its fields and long base64 lines; line breaks may be written out.
+PRIVATE_KEY = re.compile(
+    r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)"
+    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:\s++[A-Z][A-Za-z-]*+:\x20[^\n]*+)*+(?:(?:\s|\\r|\\n)++[A-Za-z0-9+/]{32,}+={0,2})++(?:(?:\s|\\r|\\n)++[A-Za-z0-9+/]*+={1,2})?+)?+"
+)
+_BREAK = re.compile(r"\s|\\r|\\n")
 BEARER = re.compile(r"\b[Bb]earer\x20+([A-Za-z0-9+/_.=-]{16,})")
 #: An opaque word: 20 or more characters of a key alphabet, with capitals, small letters and digits.
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}")
@@ -49,7 +55,10 @@ def _entropy(word: str) -> float:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans that no base span overlaps, by start; the first kind that takes a place keeps it."""
     taken = covered(base)
-    out = [(m.start(), 3, m.end()) for m in PRIVATE_KEY.finditer(text) if free(taken, *m.span())] if "PRIVATE KEY" in text else []
+    out = []
+    for m in PRIVATE_KEY.finditer(text) if "PRIVATE KEY" in text else ():
+        if free(taken, *m.span(1)):  # a base span in the body leaves the header
+            out.append((m.start(), 3, m.end() if free(taken, *m.span()) else m.end(1)))
     taken = covered([*base, *out])
     if "earer" in text:
         out += [(m.start(1), 4, m.end(1)) for m in BEARER.finditer(text) if free(taken, *m.span(1))]
@@ -61,6 +70,11 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return sorted(out)
 
 
+def value_of(text: str, a: int, kind: int, b: int) -> str:
+    """What is counted over owners: of a private key the whole, however its lines are broken, as its header is that of every key."""
+    return _BREAK.sub("", PRIVATE_KEY.match(text, a)[0]) if kind == 3 else text[a:b]
+
+
 def scan(docs: DataFrame, owner: Column, repository: Column, id_col: str, text_col: str) -> DataFrame:
     """One row per document with its owner and repository, base digest and every value found, hashed."""
 
@@ -75,7 +89,7 @@ def scan(docs: DataFrame, owner: Column, repository: Column, id_col: str, text_c
                 n = Counter(k for _, k, _ in base)
                 for k in range(3):
                     counts[k].append(n[k])
-                found.append([{"kind": k, "a": a, "b": b, "value": hashlib.sha256(text[a:b].encode("utf-8", "surrogatepass")).hexdigest()} for a, k, b in [*base, *candidates(text, base)]])
+                found.append([{"kind": k, "a": a, "b": b, "value": hashlib.sha256(value_of(text, a, k, b).encode("utf-8", "surrogatepass")).hexdigest()} for a, k, b in [*base, *candidates(text, base)]])
             arrays = [*batch.columns[:4], pa.array(shas, pa.string()), *(pa.array(c, pa.int64()) for c in counts), pa.array(found, kind)]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "text_hash", "owner", "repository", "base_sha256", "n_assign", "n_access", "n_hex", "found"])
 
