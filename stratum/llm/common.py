@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     import tempfile
 
     made = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
@@ -49,5 +52,10 @@ def drop_cut(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def sound(c) -> F.Column:
+    """A text column that Python can decode: bytes that are not UTF-8 become U+FFFD, all other texts stay as they are."""
+    return F.make_valid_utf8(c)
+
+
 def hex64(c) -> F.Column:
     return F.lower(F.lpad(F.hex(c), 16, "0"))

@@ -64,6 +64,7 @@ LABELLED = (
     "see [email a.b@c.example] [phone +9 (999) 999-9999] [ip 9.99.999.9]",
 )
 _MARK = re.compile(r"\[(email|ip|card|phone) ([^\]]+)\]")
+_DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = re.compile(r"^[<\"'\[{]+|[>\"'\]},;:!?]+$|(?<=[^.])\.$")
 
@@ -77,9 +78,11 @@ def shape(word: str) -> str:
 
 def word_features(word: str) -> list[str]:
     s = shape(word)
-    digits = sum(c.isdigit() for c in word)
+    digits = len(_DIGIT.findall(word))
     out = ["s=" + s, "c=" + re.sub(r"9+", "9", s), f"d={min(digits, 20)}", "p=" + s[:1], "e=" + s[-1:]]
     if "@" in word:
+        local, _, host = word.rpartition("@")
+        out.append("m=" + ("a" if re.search(r"\w", local) else "") + "@" + re.sub(r"\w+", "a", host.rstrip(".,;:!?)>\"'")).replace("a-", "")[:8])
         out.append("at" + ("." if "." in word.split("@")[-1] else "") + ("<" if word[:1] == "@" or word[-1:] == "@" else ""))
     if s.count(".") == 3 and digits:
         out.append("quad")
@@ -92,11 +95,11 @@ def features(words: Sequence[str]) -> list[list[str]]:
     return [f + ["<" + (brief[i - 1] if i else "^"), ">" + (brief[i + 1] if i + 1 < len(own) else "$")] for i, f in enumerate(own)]
 
 
-def labelled_table(copies: int = 6, seed: int = 7) -> list[tuple[list[str], list[int]]]:
+def labelled_table(copies: int = 6, seed: int = 7, sentences: Sequence[str] = LABELLED) -> list[tuple[list[str], list[int]]]:
     """The labelled sentences, each several times with other digits: words and label numbers."""
     rng = np.random.default_rng(seed)
     out = []
-    for line in LABELLED:
+    for line in sentences:
         for _ in range(copies):
             plain, spans, at = "", [], 0
             for m in _MARK.finditer(line):
@@ -233,6 +236,6 @@ def train(rows: list[tuple[list[str], list[int]]], rounds: int = 120, rate: floa
     return Crf(index, theta[0], theta[1] + fence)
 
 
-@lru_cache(maxsize=1)
-def trained() -> Crf:
-    return train(labelled_table())
+@lru_cache(maxsize=4)
+def trained(sentences: tuple[str, ...] = LABELLED) -> Crf:
+    return train(labelled_table(sentences=sentences))

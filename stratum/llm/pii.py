@@ -5,7 +5,8 @@ O, where the chain falls apart exactly, so decoding those stretches is decoding
 must also be possible for its kind (digits, Luhn, parts of an address) and overlap no base span.
 
 Cases: a null text is empty; a null id stays; repeated rows each give a row; an empty table gives an empty
-result; other columns are not looked at.
+result; other columns are not looked at. Only 0 to 9 are digits; bytes that are not UTF-8 count as U+FFFD, one for
+each bad sequence.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
-from .crf import Crf, trained
+from .common import sound, table
+from .crf import LABELLED, Crf, trained
 from .spans import PII_KINDS, Span, covered, digest, free, luhn, pii_spans
 
 WINDOW = 2
@@ -27,6 +28,7 @@ _ACTIVE = re.compile(r"[0-9@]+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _GAP = re.compile(r"[\x20\x09-\x0D]")
 _DIGITS = re.compile(r"[^0-9]")
+_PART = re.compile(r"[0-9]{1,3}")  # str.isdigit() would take superscripts, which int() refuses
 
 
 def stretches(text: str) -> list[list[tuple[int, int]]]:
@@ -77,7 +79,7 @@ def _possible(kind: str, found: str) -> bool:
         return bool(local and host) and "@" not in local
     if kind == "ip":
         parts = found.split(":")[0].split(".")
-        return len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
+        return len(parts) == 4 and all(_PART.fullmatch(p) and int(p) <= 255 for p in parts)
     if kind == "card":
         return 12 <= len(digits) <= 19 and luhn(digits) and not re.search(r"[^0-9 .-]", found)
     return 9 <= len(digits) <= 15 and not re.search(r"[^0-9 ().+/-]", found) and bool(re.search(r"[ ().-]", found))
@@ -115,9 +117,10 @@ def _trim(text: str, a: int, b: int, kind: int) -> Span | None:
     return (a, kind, b) if a < b else None
 
 
-def pii_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base counts and digest, and all spans, of every document; see the module for the cases."""
-    crf = trained()
+def pii_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: tuple[str, ...] = LABELLED) -> DataFrame:
+    """Base counts and digest, and all spans, of every document; see the module for the cases. The labelled table that the
+    field is trained on is an argument: sentences with their personal data marked, as in crf.py."""
+    crf = trained(labelled)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +135,7 @@ def pii_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), sound(text_col).alias("text"))
     kinds = ["long"] * 5 + ["string"] * 2 + ["long"]
     return rows.mapInArrow(each, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
 

@@ -141,6 +141,44 @@ def test_crf_holds_out_and_decodes_best_path():
     assert tuple(model.decode([words])[0]) == max(paths, key=score)
 
 
+#: Sentences that training never sees; 9 stands for any digit.
+HELD_OUT = (
+    "please email [email tom_w@acme] soon", "mail from [email zoë.k@straße.example], thanks", "(see [email bob@example])", "fax [phone (999) 999-9999] or visit",
+    "my cell: [phone 999.999.9999]; leave word", "dial [phone 999-999-9999] before 9 pm", "server [ip 99.9.99.9:9999] refused", "visa [card 9999.9999.9999.9999] declined",
+    "born 99.99.9999 in room 99", "build 9.9.9.9999 was tagged v9.9", "pages 999-999 and 9999-9999 of 99999", "at 99:99 the 9 men left for 99 days",
+    "call me on [phone +99 (9) 9999 9999] tonight", "the sum of 9,999,999 was paid", "part no 999-99-999 is sold out", "meet @ 9 near @square or #9",
+)
+
+
+def test_crf_on_sentences_that_training_never_saw():
+    model = crf.trained()
+    rows = crf.labelled_table(20, seed=5, sentences=HELD_OUT)
+    right = sum((model.decode([w])[0] == np.array(y)).sum() for w, y in rows)
+    assert right >= 0.95 * sum(len(y) for _, y in rows)
+    # Of whole spans, after the checks of each kind:
+    found = wanted = wrong = 0
+    for words, labels in rows:
+        text, at, want = " ".join(words), 0, set()
+        for w, y in zip(words, labels, strict=True):
+            want |= {crf.LABELS[y][2:]} if y and y % 2 else set()
+            at += len(w) + 1
+        base = spans.pii_spans(text)
+        have = {spans.PII_KINDS[k] for _, k, _ in [*base, *pii.added_spans([text], [base], model)[0]]}
+        if "card" in want and not any(spans.luhn("".join(c for c in w if c.isdigit())) for w in words if len(w) > 12):
+            want.discard("card")
+        found, wanted, wrong = found + len(want & have), wanted + len(want), wrong + len(have - want)
+    assert found >= 0.9 * wanted and wrong <= 0.05 * wanted
+
+
+def test_pii_takes_ascii_digits_alone(spark):
+    rows = [(1, "from 10.²0.0.1:80 came a request"), (2, "call (٧٤٣) ٥٥٥-٣٨٢٤ now"), (3, "card ４１１１.1111.1111.1111 and ①②③ ping ¹0.0.0.1, +①2 345 678"), (3, "from 10.20.0.1:80 came"), (3, "from 10.20.0.1:80 came")]
+    got = [(r.doc_id, r.spans) for r in pii.pii_scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", "spans").collect()]
+    assert [s for i, s in got if i < 3] == ["", ""] and [s for i, s in got if i == 3][-2:] == ["ip:5:14"] * 2
+    bad = spark.sql("SELECT 1L AS doc_id, concat(CAST(X'EDA080FF' AS STRING), ' mail a@b.example') AS text")
+    assert pii.pii_scan(bad).first().n_email == 1
+    assert pii.pii_scan(bad.limit(0)).count() == 0
+
+
 def brute_lines(docs, least):
     count = lambda line: len(re.findall(r"[^\x20\x09-\x0D]+", line))
     first, runs = {}, []
