@@ -61,6 +61,8 @@ LABELLED = (
     "room B99 on floor 9, building 99a",
     "chapter 9 verse 99 line 9",
     "ratio 9:9 or 99:9, then 999999 again",
+    "copy [email ops-team@hostname], then wait",
+    "ask [email jo.k@printer] about it",
     "see [email a.b@c.example] [phone +9 (999) 999-9999] [ip 9.99.999.9]",
 )
 _MARK = re.compile(r"\[(email|ip|card|phone) ([^\]]+)\]")
