@@ -83,6 +83,30 @@ def test_distinct_private_keys_of_many_owners_are_kept(spark):
     assert all((got[i].spans, got[i].n_owned, got[i].n_shared) == ("", 0, 1) for i in range(len(keys), len(texts)))
 
 
+def test_secret_ownership_matches_brute_force(spark):
+    rng = random.Random(12)
+    values = ["".join(rng.choice("ABCDEFGHIJabcdefghij0123456789") for _ in range(24)) for _ in range(12)]
+    how = ["password = '{}'", "token: {}", 'API_KEY="{}"', "Bearer {}", "{}"]
+    rows = []
+    for i in range(160):
+        v = values[min(rng.randrange(12), rng.randrange(12))]
+        owner = f"o{rng.randrange(2 if v in values[6:] else 7)}"
+        rows.append((i, rng.choice(how).format(v) + " end", owner, rng.choice(["r1", "r2", "r3", None])))
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, source string, repo string").selectExpr("*", "'x' AS f", "1 AS owners")
+    where = {v: [(o, r) for _, t, o, r in rows if v in t] for v in values}
+    for most in (2, 4):
+        got = {r.doc_id: r for r in secrets.secret_scan(df, repository_col="repo", max_repositories=most).collect()}
+        for i, text, _, _ in rows:
+            v = next(v for v in values if v in text)
+            owners, repositories = len({o for o, _ in where[v]}), len(set(where[v]))
+            owned = owners <= 2 and repositories <= most
+            assert got[i].ownership.endswith(f":{owners}:{repositories}") and (got[i].n_owned, got[i].n_shared) == (int(owned), int(not owned))
+            base = text.startswith(("password", "token", "API"))
+            assert (got[i].spans != "") == (base or owned)
+    alone = secrets.secret_scan(df.where("source = 'o0'"), repository_col="repo").first()
+    assert alone.n_owned == 1 and alone.n_shared == 0  # one owner in all: only repositories can tell
+
+
 def test_urls_match_sql_and_odd_urls(spark):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW pages AS SELECT * FROM '{DATA}/pages.parquet'")
