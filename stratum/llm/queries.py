@@ -13,7 +13,7 @@ from .pii import op9_pii
 from .quality import op7_quality
 from .secrets import op1_secrets
 from .simhash import op4_simhash
-from .toolcalls import op5_chat_format
+from .toolcalls import OP5_SQL, op5_chat_format
 from .urls import OP6_SQL, op6_url_filter
 from .vectors import op2_embedding_dedup
 
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL}
+    return {"op5_chat_format": OP5_SQL, "op6_url_filter": OP6_SQL}
