@@ -1,24 +1,33 @@
 """Benchmark decontamination by template windows.
 
-Texts are canonicalised: numbers, names (a capital inside a sentence) and units after a number become typed
-placeholders, other words lose case and edge punctuation. Windows of a few canonical words are hash-joined with
-the windows of the benchmark; matches with one shift between document and item make an alignment. An alignment
-counts if it holds enough of the item's windows and its slots are consistent, that is, what stands in a slot of
-the item is replaced by one and the same value wherever it recurs. So are questions with other numbers or names
-found, while texts that only share a skeleton are left alone.
+Texts are canonicalised: numbers, names and units after a number become typed placeholders, other words lose case and edge
+punctuation. Words of a name, or of a number, that stand in a row are one placeholder, so that a value may be replaced by one of another
+length. A capital inside a sentence makes a name; whether one that begins a sentence does can't be known, so texts have two template
+forms, with these as plain words and as names, and a third form without placeholders in which all words count as they are.
+Windows of a few canonical words are hash-joined with those of the benchmark, form by form; matches of one item at like shifts (within
+BAND words) between document and item make an alignment. An alignment counts if
+
+* windows without placeholders alone hold enough of the item, which is then there word for word, or
+* all windows together hold enough of it and its slots are consistent, that is, what stands in a slot of the item is
+  replaced by one and the same value wherever it recurs.
+
+So are questions with other numbers or names found, while texts that only share a skeleton are left alone. Windows of an item
+should hold PLAIN plain words; an item with few such windows, like a sum in words, has to match in all its windows, and is looked for
+by its words alone if it has under LEAST plain words.
 
 The hashes of the benchmark's windows go to every task only up to SENT; a larger benchmark is joined by a
 shuffle on the hash.
 
 Cases: a null text has no windows and is not contaminated; a null id stays; repeated rows each give a row; items
-that are null or have too few plain words match nothing; an item shorter than a window is matched whole; an
-empty table or benchmark gives no matches; other columns are not looked at.
+that are null or have under LEAST words match nothing; an item shorter than a window is matched whole; an
+empty table or benchmark gives no matches; other columns are not looked at; bytes that are not UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +35,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, sound, table
 
 WINDOW = 8
 #: Plain words that a window must hold, so that runs of placeholders match nothing.
 PLAIN = 5
 #: Windows of one alignment that are enough (with WINDOW 8, a run of 13 words), or all that the item has.
 ENOUGH = 6
+#: Words of an item, and plain words of a template, at least.
+LEAST = 3
+#: Shifts that differ by up to half of this make one alignment.
+BAND = 16
 #: Window hashes of the benchmark that may be sent to every task: 16 MB.
 SENT = 2_000_000
 
@@ -61,12 +74,24 @@ class Words(dict):
         kind = self.CAPITAL * bare[:1].isupper() | self.UNIT * (low in UNITS) | self.END * (word[-1:] in ".!?:;|") | self.EMPTY * (not bare)
         if low[:1].isdigit() and _NUMBER.fullmatch(low):
             kind |= self.NUMBER
-        self[word] = out = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 3) & ~self.KINDS | kind
+        out = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 3) & ~self.KINDS | kind
+        if len(word) <= 64:
+            self[word] = out
         return out
 
 
-def canonical(text: str, words: Words) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(hash of each canonical word, whether it is a slot, the words as written)."""
+@dataclass
+class Form:
+    """Canonical words: their hashes, which are slots, which hold a sentence's first word with a capital, and the first word of each in the text."""
+
+    h: np.ndarray
+    slot: np.ndarray | None
+    first: np.ndarray | None
+    start: np.ndarray
+
+
+def canonical(text: str, words: Words) -> tuple[list[str], list[Form]]:
+    """(words of the text, its forms: the words themselves, templates with sentences' first words as they are, and as names)."""
     raw = text.split()
     h = np.fromiter(map(words.__getitem__, raw), np.uint64, len(raw))
     flags = h & np.uint64(Words.KINDS)
@@ -78,68 +103,129 @@ def canonical(text: str, words: Words) -> tuple[np.ndarray, np.ndarray, list[str
     if empty.any():
         h, flags, ended = h[~empty], flags[~empty], ended[~empty]
         raw = [w for w, e in zip(raw, empty.tolist(), strict=True) if not e]
+    out = [Form(h, None, None, np.arange(len(h)))]
     number = (flags & np.uint64(Words.NUMBER)) > 0
-    name = ((flags & np.uint64(Words.CAPITAL)) > 0) & ~ended & ~number
+    capital = ((flags & np.uint64(Words.CAPITAL)) > 0) & ~number
     unit = (flags & np.uint64(Words.UNIT)) > 0
     unit[1:] &= number[:-1]
     unit[:1] = False
-    h[number], h[name], h[unit] = _NUM, _NAME, _UNIT
-    return h, number | name | unit, raw
-
-
-def windows(h: np.ndarray, slot: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the windows of that width that hold enough plain words."""
+    for name in (capital & ~ended, capital):
+        kind = number + 2 * (name & ~unit) + 3 * unit
+        if kind.any():
+            keep = np.ones(len(h), bool)
+            keep[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 0) | (kind[1:] == 3)
+            start = np.nonzero(keep)[0]
+            first = np.add.reduceat((ended & name).astype(np.int64), start) > 0
+            out.append(Form(np.choose(kind, [h, _NUM, _NAME, _UNIT])[keep], kind[keep] > 0, first, start))
+    return raw, out
+
+
+def windows(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all windows of that width."""
     n = len(h) - width + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    if n <= 0 or not width:
+        return np.empty(0, np.uint64)
     out = h[:n].copy()
     for j in range(1, width):
         out *= _PRIME
         out += h[j : j + n]
     out ^= np.uint64(width)
     out ^= out >> np.uint64(32)
-    if not slot.any():
-        return np.arange(n), out
-    total = np.r_[0, np.cumsum(~slot)]
-    at = np.nonzero(total[width:] - total[:n] >= min(PLAIN, width))[0]
-    return at, out[at]
+    return out
+
+
+def _held(flags: np.ndarray, width: int) -> np.ndarray:
+    """How many flags each window holds."""
+    total = np.r_[0, np.cumsum(flags)]
+    return total[width:] - total[: len(total) - width]
+
+
+def _coarse(wanted: np.ndarray) -> np.ndarray:
+    """Which low bits of hashes stand in the array; six bits more than it takes to number them."""
+    out = np.zeros(1 << min(24, max(16, len(wanted).bit_length() + 6)), bool)
+    out[(wanted & np.uint64(len(out) - 1)).view(np.int64)] = True
+    return out
 
 
 def _member(wanted: np.ndarray, coarse: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Positions of the hashes that stand in the sorted array; coarse tells by 16 bits which may."""
-    maybe = np.nonzero(coarse[(hashes & np.uint64(0xFFFF)).view(np.int64)])[0]
+    """Positions of the hashes that stand in the sorted array; coarse tells by some bits which may."""
+    maybe = np.nonzero(coarse[(hashes & np.uint64(len(coarse) - 1)).view(np.int64)])[0]
     place = np.minimum(np.searchsorted(wanted, hashes[maybe]), len(wanted) - 1)
     return maybe[wanted[place] == hashes[maybe]]
 
 
-def _slots(slot: np.ndarray, raw: list[str], at: int, width: int) -> list[str]:
-    return [_EDGE.sub("", raw[i]) for i in range(at, at + width) if slot[i]]
-
-
-_ITEM = "hash long, item long, at long, slots array<string>, need long"
+def _slots(form: Form, raw: list[str], at: int, width: int) -> list[str]:
+    """What stands in the slots of a window."""
+    out = []
+    for i in range(at, at + width):
+        if form.slot[i]:
+            stop = form.start[i + 1] if i + 1 < len(form.start) else len(raw)
+            out.append(" ".join(_EDGE.sub("", w) for w in raw[form.start[i] : stop]))
+    return out
+
+
+def _chosen(forms: list[Form], k: int, width: int, at: np.ndarray) -> np.ndarray:
+    """Of the windows at these places those that no other form has: with a slot, and in the last form with a sentence's first word."""
+    form = forms[k]
+    if form.slot is None or not len(at):
+        return at
+    at = at[_held(form.slot, width)[at] > 0]
+    return at[_held(form.first, width)[at] > 0] if k == 2 else at
+
+
+def _forms(text: str, words: Words) -> tuple[list[str], list[Form]]:
+    """canonical() with the forms at fixed places: the third is there only if it differs from the second."""
+    raw, forms = canonical(text, words)
+    if len(forms) == 2 and forms[1].first.any():  # only sentences' first words are slots
+        forms.insert(1, Form(np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, bool), np.empty(0, np.int64)))
+    return raw, forms
+
+
+def item_windows(text: str, words: Words) -> list[tuple]:
+    """(hash, at, plain, slots, need_plain, need, width) of an item; need is null if its templates tell too little."""
+    raw, forms = _forms(text, words)
+    if len(raw) < LEAST:
+        return []
+    width = min(WINDOW, len(raw))
+    hashes = windows(forms[0].h, width)
+    need_plain = min(ENOUGH, len(hashes))
+    out, need = [], None
+    for k in range(1, len(forms)):
+        form = forms[k]
+        w = min(WINDOW, len(form.h))
+        if (~form.slot).sum() < LEAST:
+            continue
+        plain = _held(~form.slot, w)
+        at = np.nonzero(plain >= min(PLAIN, w))[0]
+        mine = ENOUGH
+        if len(at) < min(ENOUGH, len(plain)) or w < PLAIN:
+            at, mine = np.arange(len(plain)), len(plain)
+        need = min(need or len(plain), mine, len(plain))
+        h = windows(form.h, w)
+        out += [(int(h[a].view(np.int64)), int(form.start[a]), False, _slots(form, raw, a, w), w) for a in _chosen(forms, k, w, at)]
+    out += [(int(v), a, True, [], width) for a, v in enumerate(hashes.view(np.int64))]
+    return [(h, a, p, z, need_plain, need, w) for h, a, p, z, w in out]
+
+
+_ITEM = "hash long, item long, at long, plain boolean, slots array<string>, need_plain long, need long, width long"
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(hash, item, at, slots, need, width) of every window of the benchmark."""
+    """(hash, item, at, plain, slots, need_plain, need, width) of every window of the benchmark."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
             rows = []
             for item, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h, slot, raw = canonical(x.as_py() or "", words)
-                width = min(WINDOW, len(h))
-                if item is None or width < PLAIN:
-                    continue
-                at, hashes = windows(h, slot, width)
-                need = min(ENOUGH, len(at))
-                rows += [(int(v), item, int(a), _slots(slot, raw, a, width), need, width) for a, v in zip(at, hashes.view(np.int64), strict=True)]
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["hash", "item", "at", "slots", "need", "width"])
+                if item is not None:
+                    rows += [(r[0], item, *r[1:]) for r in item_windows(x.as_py() or "", words)]
+            cols = list(zip(*rows, strict=True)) or [()] * 8
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["hash", "item", "at", "plain", "slots", "need_plain", "need", "width"])
 
-    rows = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(each, _ITEM + ", width long")
+    rows = benchmark.select(F.col(id_col).cast("long").alias("item"), sound(text_col).alias("text"))
+    return rows.mapInArrow(each, _ITEM)
 
 
 def document_windows(docs: DataFrame, id_col: str, text_col: str, widths: list[int], known: np.ndarray | None) -> DataFrame:
@@ -148,26 +234,24 @@ def document_windows(docs: DataFrame, id_col: str, text_col: str, widths: list[i
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, wanted = Words(), sent.value
-        coarse = np.zeros(1 << 16, bool)
-        if wanted is not None:
-            coarse[(wanted & np.uint64(0xFFFF)).view(np.int64)] = True
+        coarse = _coarse(wanted) if wanted is not None and len(wanted) else None
         for batch in batches:
             if len(words) > 500_000:
                 words = Words()
             rows: list[tuple] = []
             for key, th, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                h, slot, raw = canonical(x.as_py() or "", words)
-                for width in widths:
-                    at, hashes = windows(h, slot, width)
-                    if wanted is not None:
-                        hit = _member(wanted, coarse, hashes)
-                        at, hashes = at[hit], hashes[hit]
-                    rows += [(key, th, int(v), int(a), _slots(slot, raw, a, width)) for a, v in zip(at, hashes.view(np.int64), strict=True)]
+                raw, forms = _forms(x.as_py() or "", words)
+                for k, form in enumerate(forms):
+                    for width in widths:
+                        hashes = windows(form.h, width)
+                        at = np.arange(len(hashes)) if coarse is None else _member(wanted, coarse, hashes)
+                        at = _chosen(forms, k, width, at)
+                        rows += [(key, th, int(hashes[a].view(np.int64)), int(form.start[a]), _slots(form, raw, a, width) if k else []) for a in at]
             cols = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "text_hash", "hash", "at", "slots"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), sound(text_col).alias("text"))
     return rows.mapInArrow(each, "id long, text_hash long, hash long, at long, slots array<string>")
 
 
@@ -179,20 +263,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     widths = [r["width"] for r in items.select("width").distinct().orderBy("width").collect()]
     known = None
     if distinct.limit(sent + 1).count() <= sent:
-        known = np.sort(np.array([r["hash"] for r in distinct.collect()], np.int64).view(np.uint64))
-        if not len(known):
-            widths = []
+        known = np.sort(distinct.toArrow()["hash"].to_numpy().astype(np.int64).view(np.uint64))
     found = cut(document_windows(docs, id_col, text_col, widths, known))
-    i = items.select(F.col("hash").alias("i_hash"), "item", F.col("at").alias("i_at"), F.col("slots").alias("i_slots"), "need")
-    pairs = found.join(i, F.col("hash") == F.col("i_hash")).select(
-        "id", "text_hash", "item", (F.col("at") - F.col("i_at")).alias("shift"), "i_at", "need", F.arrays_zip("i_slots", "slots").alias("z")
-    )
+    i = items.select(F.col("hash").alias("i_hash"), "item", F.col("at").alias("i_at"), "plain", F.col("slots").alias("i_slots"), "need_plain", "need")
+    # A window with other slots than the item's, in number, is another one whose hash happens to be the same.
+    pairs = found.join(i, (F.col("hash") == F.col("i_hash")) & (F.size("slots") == F.size("i_slots")))
+    shift = F.col("at") - F.col("i_at")
+    bands = F.array(F.floor(shift / BAND) * 2, F.floor((shift + BAND // 2) / BAND) * 2 + 1)
+    pairs = pairs.select("id", "text_hash", "item", F.explode(bands).alias("band"), "i_at", "plain", "need_plain", "need", F.arrays_zip("i_slots", "slots").alias("z"))
     seen = F.array_distinct(F.flatten(F.collect_set("z")))
-    aligned = pairs.groupBy("id", "text_hash", "item", "shift").agg(F.count_distinct("i_at").alias("n"), F.max("need").alias("need"), seen.alias("z"))
+    places = lambda c: F.size(F.collect_set(c))
+    aligned = pairs.groupBy("id", "text_hash", "item", "band").agg(
+        places("i_at").alias("n"), places(F.when(F.col("plain"), F.col("i_at"))).alias("n_plain"), F.max("need").alias("need"), F.max("need_plain").alias("need_plain"), seen.alias("z")
+    )
     was = F.transform("z", lambda x: x["i_slots"])
+    whole = F.col("n_plain") >= F.col("need_plain")
     consistent = F.size(F.array_distinct(was)) == F.size("z")
     same = F.forall("z", lambda x: x["i_slots"] == x["slots"])
-    good = aligned.where((F.col("n") >= F.col("need")) & consistent).select("id", "text_hash", "item", same.alias("same"))
+    good = aligned.where(whole | (F.coalesce(F.col("n") >= F.col("need"), F.lit(False)) & consistent)).select("id", "text_hash", "item", same.alias("same"))
     return good.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("item")).alias("items"), (~F.max("same")).alias("changed"))
 
 

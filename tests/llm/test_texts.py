@@ -366,6 +366,61 @@ def test_decontamination(spark):
     assert decontaminate.decontaminate(df.limit(0), bench).count() == 0
 
 
+PARAMETERS = "The farmer Maria sold 12 baskets of apples to Tom for 3 dollars each and kept 40 more at home for the winter"
+
+
+@pytest.mark.parametrize(
+    ("item", "text", "changed"),
+    [
+        (PARAMETERS, PARAMETERS.replace("Maria", "Anna Lee").replace("12", "12 000"), True),  # values of other lengths
+        (PARAMETERS, PARAMETERS.upper(), False),  # word for word, as capitals
+        (PARAMETERS, "A heading\n" + PARAMETERS, False),
+        ("Maria has 12 baskets of apples and gives some of them to all her friends", "now Anna Lee has 9 baskets of apples and gives some of them to all her friends", True),
+        ("What is 17 times 23 plus 4?", "so: what is 17 times 23 plus 4 then", False),
+        ("What is 17 times 23 plus 4?", "so, what is 5 times 1,000 plus 61 then", True),
+        ("The capital of France is which city in Europe", "Some heading\nThe capital of France is which city in Europe\nmore", False),
+        ("who wrote this play", "he asked Who wrote this play? and left", False),
+        (PARAMETERS, "The farmer Maria sold 12 baskets", None),
+        (PARAMETERS, PARAMETERS.replace("sold", "bought").replace("kept", "left").replace("for", "at"), None),
+        ("What is 17 times 23 plus 4?", "what is it, 5 times as much plus 61", None),
+        ("If 4 men need 4 days and 6 more men come then how long do 4 men and 6 men need", "if 5 men need 7 days and 6 more men come then how long do 8 men and 6 men need", None),
+    ],
+)
+def test_templates(spark, item, text, changed):
+    df = spark.createDataFrame([(1, "Words before it. " + text + " and words after it")], "doc_id long, text string")
+    got = decontaminate.decontaminate(df, spark.createDataFrame([(7, item)], "item_id long, text string")).first()
+    assert (got.contaminated, got.changed) == (changed is not None, bool(changed))
+
+
+def test_templates_match_brute_force(spark):
+    """Documents with and without an item, its numbers and names replaced: nothing more and nothing less is found."""
+    rng = random.Random(6)
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
+    fill = lambda n: [rng.choice(plain) for _ in range(n)]
+    items, rows, want = {}, [], {}
+    for i in range(30):
+        words = fill(rng.randint(16, 30))
+        for at in rng.sample(range(2, len(words) - 1, 2), 3):
+            words[at] = rng.choice(["{a}", "{b}", "{c}"])
+        items[i] = words
+    shown = lambda words, a, b, c: " ".join(words).format(a=a, b=b, c=c)
+    for d in range(200):
+        body, found = fill(40), set()
+        if d % 2:
+            i, kind = rng.randrange(30), rng.choice(["same", "changed", "broken"])
+            words, values = list(items[i]), ("17", "Maria", "2.5") if kind == "same" else (str(rng.randint(100, 999)), rng.choice(["Olga Bo", "Eve"]), str(rng.randint(1000, 9999)))
+            if kind == "broken":  # every fifth word is another one: no 8 in a row are left
+                words = [w if k % 5 else rng.choice(plain) for k, w in enumerate(words)]
+            else:
+                found.add(i)
+            body[20:20] = shown(words, *values).split()
+        rows.append((d, " ".join(body)))
+        want[d] = found
+    bench = spark.createDataFrame([(i, shown(w, "17", "Maria", "2.5")) for i, w in items.items()], "item_id long, text string")
+    got = {r.doc_id: set(r["items"]) for r in decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == want
+
+
 def test_decontamination_finds_whole_items(spark):
     out = {r.doc_id: set(r["items"]) for r in decontaminate.op10_decontaminate(spark, DATA).collect() if r.contaminated}
     bench = [(r.item_id, r.text.split()) for r in table(spark, DATA, "benchmark").collect()]
