@@ -57,5 +57,16 @@ def sound(c) -> F.Column:
     return F.make_valid_utf8(c)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be none of df's columns."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def hex64(c) -> F.Column:
     return F.lower(F.lpad(F.hex(c), 16, "0"))

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import sound
+
 #: Hashed weights.
 BUCKETS = 1 << 18
 #: Labelled rows that a classifier is fitted on at most: those with the smallest hash of their id.
@@ -70,6 +72,11 @@ def _shape(feature: str) -> int:
     return xxhash.xxh64_intdigest(feature.encode("utf-8", "surrogatepass"), 12) % (WORDS - DENSE) + DENSE
 
 
+def tag(name: str) -> int:
+    """The bucket of something known about a document besides its text."""
+    return _word("\1" + name)
+
+
 def vector(text: str, buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, values) of a whole text: a few dense figures, the share of each shape, the words that occur
     and, if the buckets are made for it, the stems that make up more than OFTEN of the words.
@@ -121,6 +128,13 @@ class Sample:
         out.rows, out.row, out.idx, out.value = n, self.row[pick], self.idx[pick], self.value[pick]
         return out
 
+    def rows_where(self, keep: np.ndarray) -> Sample:
+        """This sample with some of its rows."""
+        out = Sample([], [x for x, k in zip(self.labels, keep, strict=True) if k])
+        pick, place = keep[self.row] if self.rows else np.empty(0, bool), np.cumsum(keep) - 1
+        out.rows, out.row, out.idx, out.value = int(keep.sum()), place[self.row[pick]].astype(int), self.idx[pick], self.value[pick]
+        return out
+
     def scores(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=weights[self.idx] * self.value, minlength=self.rows)
 
@@ -144,7 +158,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_cols: list[str], d
     """
     known = labels.select(F.col("doc_id").alias("__id"), *[F.col(c).alias(f"__l_{c}") for c in label_cols]).dropna().distinct()
     chosen = known.orderBy(F.xxhash64("__id"), *known.columns).limit(rows)
-    texts = docs.select("doc_id", F.col("text").alias("__text"), *[F.col(c).alias(f"__d_{c}") for c in doc_cols]).dropna()
+    texts = docs.select("doc_id", sound("text").alias("__text"), *[F.col(c).alias(f"__d_{c}") for c in doc_cols]).dropna()
     names = [f"__l_{c}" for c in label_cols] + [f"__d_{c}" for c in doc_cols]
     picked = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select(*names, "__id", "__text")
     n = len(names)

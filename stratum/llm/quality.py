@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import table
+from .common import free_names, sound, table
 from .hashed import BUCKETS, LABELLED_ROWS, Buckets, Sample, labelled_sample, vector
 
 GRADES = 3
@@ -93,18 +93,17 @@ _NAMES = ["p_sound", "p_clean", "expected_grade"]
 
 
 def judged(docs: DataFrame, model: Ordinal, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The named columns of docs with p_sound, p_clean and expected_grade (each with two underscores before it)."""
-    text_at = columns.index(text_col) if text_col in columns else len(columns)
-    rows = docs.select(*columns) if text_col in columns else docs.select(*columns, text_col)
-    out_fields = [f for f in rows.schema.fields if f.name in columns]
-    keep = [rows.columns.index(f.name) for f in out_fields]
-    names = [f.name for f in out_fields] + ["__" + n for n in _NAMES]
+    """The named columns of docs and after them p_sound, p_clean and expected_grade, under names that are free in docs."""
+    read, *made = free_names(docs, "__text", *["__" + n for n in _NAMES])
+    rows = docs.select(*columns, sound(text_col).alias(read))
+    out_fields, text_at = rows.schema.fields[:-1], len(columns)
+    names = [*columns, *made]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets(stems=True)
         for batch in batches:
             tails = np.array([model.tails(x.as_py() or "", buckets) for x in batch.column(text_at)]).reshape(-1, GRADES - 1)
-            arrays = [batch.column(i) for i in keep] + [pa.array(tails[:, 0]), pa.array(tails[:, 1]), pa.array(tails.sum(axis=1))]
+            arrays = [*batch.columns[:text_at], pa.array(tails[:, 0]), pa.array(tails[:, 1]), pa.array(tails.sum(axis=1))]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = StructType([StructField(f.name, f.dataType) for f in out_fields] + [StructField(n, DoubleType()) for n in names[len(out_fields) :]])
@@ -113,13 +112,14 @@ def judged(docs: DataFrame, model: Ordinal, columns: list[str], text_col: str =
 
 def grade_documents(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
     """(doc_id, p_sound, p_clean, expected_grade, kept) of every document."""
-    out = judged(docs, fitted(docs, labels), ["doc_id"])
-    return out.select("doc_id", *[F.col("__" + n).alias(n) for n in _NAMES], (F.col("__p_clean") >= keep).alias("kept"))
+    out = judged(docs, fitted(docs, labels), ["doc_id"]).toDF("doc_id", *_NAMES)
+    return out.withColumn("kept", F.col("p_clean") >= keep)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    return judged(docs, fitted(docs, labels), docs.columns).where(F.col("__p_clean") >= keep).select(*docs.columns)
+    out = judged(docs, fitted(docs, labels), docs.columns)
+    return out.where(F.col(out.columns[-2]) >= keep).select(*docs.columns)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

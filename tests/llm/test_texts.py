@@ -489,21 +489,52 @@ def test_mixing_meets_targets(spark):
     rng = random.Random(5)
     words = {"en": "the of and".split(), "de": "der die und".split(), "fr": "le la et".split()}
     rows = [(i, " ".join(rng.choice(words[d]) for _ in range(rng.randint(20, 80))), d, "s") for i, d in enumerate(rng.choices(["en", "de", "fr"], [8, 3, 1], k=400))]
-    rows += [(900, None, "en", "s"), (None, "the of", None, None)]
-    df = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS rate0")
+    rows = [(i, t, d if i % 2 == 0 or i % 5 else None, s) for i, t, d, s in rows]  # what is not labelled may have no domain
+    rows += [(900, None, "en", "s"), (None, "the of", None, None), (900, None, "en", "s")]
+    df = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS rate", "'x' AS posterior", "2 AS __tokens", "3 AS __rate")
     labels = spark.createDataFrame([(i,) for i in range(0, 400, 2)] + [(None,)], "doc_id long")
     targets = {"en": 0.4, "de": 0.4, "fr": 0.1, "es": 0.1}
-    out = mixing.mixture(df, labels, df.columns, targets).collect()
+    out = mixing.mixture(df, labels, df.columns, targets, "lang").collect()
     got = sum(np.array(r.posterior) * r.n_tokens * r.rate for r in out)
     assert len(out) == len(rows) and np.allclose(got / got.sum(), np.array([0.4, 0.4, 0.1, 0]) / 0.9, atol=2e-3)
-    assert min(r.rate for r in out) >= 0.99 and all(abs(r.copies - r.rate) < 1 for r in out)
-    assert mixing.mixture(df.limit(0), labels, df.columns, targets).count() == 0
-
-
-def test_rates_stay_nonnegative(spark):
-    soft = spark.createDataFrame([(10, [1.0, 0.0]), (10, [0.5, 0.5]), (5, [0.0, 1.0])], "__tokens long, __posterior array<double>")
-    steps, total, target = mixing.fit_rates(soft, 2, np.array([0.9, 0.1]))
-    assert np.allclose(total, target, rtol=1e-2)
+    assert abs(got.sum() / sum(r.n_tokens for r in out) - 1) < 2e-3 and out[0].residual < 2e-3  # the total is fixed
+    assert min(r.rate for r in out) < 0.9 and all(abs(r.copies - r.rate) < 1 for r in out)
+    none = [(r.doc_id, r.rate) for r in mixing.mixture(df, labels, df.columns, {"en": 1.0, "de": 0.0, "fr": 1.0}, "lang", budget=0.5).collect() if r.doc_id is not None and r.lang == "de"]
+    assert len(none) > 50 and sum(x for _, x in none) < 0.05 * len(none) and min(x for _, x in none) == 0.0
+    equal = mixing.mixture(df, labels, df.columns, domain_col="lang")
+    assert set(equal.columns) == {*df.columns, "n_tokens", "copies", "residual"} and equal.count() == len(rows)
+    assert mixing.mixture(equal, labels, equal.columns, domain_col="lang").columns[-1] == "residual"  # a result is a table like another
+    assert mixing.mixture(df.limit(0), labels, df.columns, targets, "lang").count() == 0
+    assert mixing.mixture(df, labels.limit(0), df.columns).where("rate = 1").count() == len(rows)
+
+
+def plain_rates(t, p, target, w, rounds=4000):
+    """Nonnegative least squares by one rate at a time."""
+    a, x = t[:, None] * p, np.ones(len(t))
+    total = x @ a
+    for _ in range(rounds):
+        for i in range(len(t)):
+            new = max(0.0, x[i] - a[i] @ (w * (total - target)) / (a[i] @ (w * a[i])))
+            total, x[i] = total + (new - x[i]) * a[i], new
+    return total
+
+
+@pytest.mark.parametrize("shares", [(0.9, 0.1, 0.0), (0.34, 0.33, 0.33), (0.0, 0.0, 1.0)])
+def test_rates_are_those_of_a_plain_solver(spark, shares):
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([0.7, 0.7, 0.7], 60) * [1, 1, 0.3]
+    p /= p.sum(axis=1, keepdims=True)
+    t = rng.integers(5, 500, 60)
+    soft = spark.createDataFrame([(int(n), q.tolist()) for n, q in zip(t, p, strict=True)], "tokens long, posterior array<double>").repartition(3)
+    steps, total, target = mixing.fit_rates(soft, np.array(shares), passes=150)
+    x, _ = mixing.rates(p, steps)
+    assert (x >= 0).all() and np.allclose((t * x) @ p, total) and np.isclose(target.sum(), t.sum())
+    w = 1 / np.maximum(target, 1e-3 * target.sum())
+    want = plain_rates(t.astype(float), p, target, w)
+    f = lambda v: w @ (v - target) ** 2
+    assert f(total) <= f(want) + 2e-3 * f(t @ p) and np.abs(total - want).sum() <= 0.02 * target.sum()
+    if 0.0 in shares:
+        assert (x == 0).sum() > 5
 
 
 def test_every_operator_is_registered():
