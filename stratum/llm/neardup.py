@@ -1,21 +1,29 @@
 """Near-duplicates by shingles of five words: candidates from bit-sliced SimHash, links by exact similarity.
 
-Documents with the same set of shingles collapse to one first, so exact copies cost no pairs. What is left is
-dealt into blocks of documents that share a band of min-hashes; in a block, fingerprints are compared bit-sliced
-and those within RADIUS bits are candidates (at a similarity of 0.8, bands miss 2 in 10,000 pairs and a radius
-of 18 fewer than 1 in 100). Candidates make clusters, kept as chains, so no block emits its pairs. In each
+Documents with the same set of shingles collapse to one first, so exact copies, and texts that differ in repeats alone, cost no
+pairs. Fingerprints are taken of the set, without repeats. Documents that share a band of min-hashes are dealt into blocks; in a block,
+fingerprints are compared bit-sliced and those within RADIUS bits are candidates. At a similarity of 0.8, bands miss 2 in 10,000 pairs, and
+fingerprints, which differ in some 10 of 64 bits then (12 with a handful of shingles), 1 in 100,000 (7 in 10,000).
+Candidates make clusters, kept as chains, so no block emits its pairs. In each
 cluster the Jaccard similarity of every pair is computed exactly from the shingle sets and pairs from
-SIMILARITY on are links. A block or cluster beyond its bound is dealt in tiles, each pair of parts in one task of
-bounded size.
+SIMILARITY on are links.
+
+A cluster beyond CLUSTER documents is first compared with a few pivots out of it, for which each text is sent once. Let d be the
+Jaccard distance, which obeys the triangle inequality, and r(c) the least distance from pivot c to a document that c does not
+link with. A document m with d(c, m) + 0.2 < r(c) is settled: whatever it links with, c links with too, so the
+link to c stands for all of its links, and it leaves the cluster, as the pivot does. So a group of close copies is settled by comparing
+each with a few, and only what is left, after ROUNDS at most, is dealt in tiles, each pair of parts in one task of bounded
+size. A block beyond its bound is dealt in tiles, too.
 
 Cases: documents without words have one empty set and are copies of each other; a null id is never
 removed and represents nothing; rows with the same id and text stay or go together; an empty table gives
-an empty result; other columns are kept as they are.
+an empty result; other columns are kept as they are, whatever their names; bytes that are not UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,19 +31,24 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .bitslice import chain_edges, link
-from .common import cut
+from .common import cut, free_names, sound
 from .components import components
 from .simhash import fingerprint, shingle_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
-RADIUS = 18
+RADIUS = 22
 BANDS, ROWS = 16, 4
 #: Rows of a block, and documents of a cluster, that are compared in one task.
-BLOCK, CLUSTER = 4096, 384
+BLOCK, CLUSTER = 4096, 768
+#: Pivots of a large cluster in a round, and rounds at most.
+PIVOTS, ROUNDS = 8, 3
 
+#: Two similarities this near are the same.
+_EQUAL = 1e-9
 _RNG = np.random.default_rng(20)
 _FLIP = _RNG.integers(0, 2**63, (BANDS * ROWS, 1)).astype(np.uint64)
 _ODD = _RNG.integers(0, 2**62, (BANDS * ROWS, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,15 +70,14 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             fp, s, b = [], [], []
             for x in batch.column(2):
-                h = shingle_hashes(x.as_py(), WORDS)
+                h = np.unique(shingle_hashes(x.as_py(), WORDS))
                 fp.append(fingerprint(h))
-                h = np.unique(h)
                 s.append(xxhash.xxh64_intdigest(h.tobytes(), 9) - (1 << 63))
                 b.append(bands(h) if len(h) else [])
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(v, k) for v, k in zip((fp, s, b), kinds, strict=True))], names=["id", "t", "fp", "s", "bands"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), sound(text_col).alias("text"))
     return rows.mapInArrow(each, "id long, t long, fp long, s long, bands array<long>")
 
 
@@ -88,9 +100,10 @@ def candidate_clusters(nodes: DataFrame) -> DataFrame:
     return components(dealt.mapInPandas(lambda batches: link(batches, RADIUS, keys), "a long, b long"))
 
 
-def similar_labels(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
-    """Component label of each set over links of Jaccard similarity from the bound on, all pairs compared exactly."""
+def jaccard(sets: list[np.ndarray], first: int | None = None) -> np.ndarray:
+    """Exact Jaccard similarity of the first sets (or of all) with all."""
     n = len(sets)
+    first = n if first is None else first
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(n), sizes)
     _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -98,7 +111,7 @@ def similar_labels(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np
     place = np.cumsum(shared) - 1
     pick = shared[col]
     owner, col = owner[pick], place[col[pick]]
-    both = np.zeros((n, n), np.float32)
+    both = np.zeros((first, n), np.float32)
     order = np.argsort(col, kind="stable")
     owner, col = owner[order], col[order]
     width = max(1, min(4096, int(shared.sum())))
@@ -106,9 +119,15 @@ def similar_labels(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np
         a, b = np.searchsorted(col, [at, at + width])
         part = np.zeros((n, width), np.float32)
         part[owner[a:b], col[a:b] - at] = 1
-        both += part @ part.T
-    union = sizes[:, None] + sizes[None, :] - both
-    linked = both >= similarity * union - 1e-6 * union
+        both += part[:first] @ part.T
+    both[np.arange(first), np.arange(first)] = sizes[:first]
+    return both.astype(np.float64) / np.maximum(1, sizes[:first, None] + sizes[None, :] - both)
+
+
+def similar_labels(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
+    """Component label of each set over links of Jaccard similarity from the bound on, all pairs compared exactly."""
+    n = len(sets)
+    linked = jaccard(sets) >= similarity - _EQUAL
     label = np.arange(n)
     while True:
         low = np.where(linked, label[None, :], n).min(axis=1)
@@ -138,26 +157,80 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield settle()
 
 
+def _to_pivots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(pivot, id, d) of each row and pivot of rows (root, chunk, pivot, id, text) sorted by root and chunk, the pivots of a
+    chunk before its other rows; d is the distance, and only those up to twice that of a link are given."""
+    most = 2 * (1 - SIMILARITY) + _EQUAL
+    key, pivots = None, []
+
+    def settle(rows: list) -> pd.DataFrame:
+        d = 1 - jaccard([*(p for _, p in pivots), *(r for _, r in rows)], len(pivots))[:, len(pivots) :]
+        a, b = np.nonzero(d <= most)
+        return pd.DataFrame({"pivot": np.array([i for i, _ in pivots], dtype=np.int64)[a], "id": np.array([i for i, _ in rows], dtype=np.int64)[b], "d": d[a, b]})
+
+    rows: list = []
+    for pdf in batches:
+        for root, chunk, is_pivot, i, text in zip(pdf["root"], pdf["chunk"], pdf["pivot"], pdf["id"], pdf["text"], strict=True):
+            if (root, chunk) != key:
+                if rows and pivots:
+                    yield settle(rows)
+                key, pivots, rows = (root, chunk), [], []
+            made = (i, np.unique(shingle_hashes(text, WORDS)))
+            (pivots if is_pivot else rows).append(made)
+            if len(rows) >= 256:
+                yield settle(rows)
+                rows = []
+    if rows and pivots:
+        yield settle(rows)
+
+
+def settled(sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(what is left of clusters (root, id, text), edges (a, b) of what was settled): see the module."""
+    edges: list[DataFrame] = []
+    for turn in range(ROUNDS):
+        sizes = cut(sets.groupBy(F.col("root").alias("b_root")).agg(F.count("*").alias("n")).where(F.col("n") > CLUSTER))
+        if sizes.isEmpty():
+            break
+        big = sets.join(sizes, F.col("root") == F.col("b_root")).drop("b_root")
+        order = W.partitionBy("root").orderBy(F.xxhash64("id", F.lit(turn)), "id")
+        names = cut(big.select("root", "id").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= PIVOTS).select(F.col("id").alias("p_id")))
+        chunks = F.ceil(F.col("n") / CLUSTER)
+        pivots = big.join(names, F.col("id") == F.col("p_id")).select("root", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"), F.lit(True).alias("pivot"), "id", "text")
+        dealt = pivots.unionByName(big.select("root", F.pmod(F.xxhash64("id", F.lit("chunk")), chunks).alias("chunk"), F.lit(False).alias("pivot"), "id", "text"))
+        dealt = dealt.repartition("root", "chunk").sortWithinPartitions("root", "chunk", F.col("pivot").desc())
+        met = cut(dealt.mapInPandas(_to_pivots, "pivot long, id long, d double"))
+        link = F.col("d") <= 1 - SIMILARITY + _EQUAL
+        edges.append(met.where(link).select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+        bound = met.where(~link).groupBy(F.col("pivot").alias("r_pivot")).agg(F.min("d").alias("r"))
+        # Distances beyond those given are more than twice a link's, so r is that at least.
+        near = met.join(cut(bound), F.col("pivot") == F.col("r_pivot"), "left")
+        gone = near.where((F.col("id") == F.col("pivot")) | (F.col("d") + (1 - SIMILARITY) < F.coalesce("r", F.lit(2 * (1 - SIMILARITY))) - 2 * _EQUAL))
+        gone = cut(gone.select(F.col("id").alias("g_id")).distinct())
+        sets = cut(sets.join(gone, F.col("id") == F.col("g_id"), "left_anti"))
+    return sets, edges
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, t, component) of every row of docs; component is the smallest id reachable over links."""
     signed = cut(_signatures(docs, id_col, text_col))
-    nodes = cut(signed.groupBy("fp", "s").agg(F.min("id").alias("id"), F.min_by(F.struct("bands", "t"), "id").alias("x")))
-    known = nodes.where("id IS NOT NULL").select("id", "fp", F.col("x.bands").alias("bands"), F.col("x.t").alias("t"))
+    nodes = cut(signed.groupBy("s").agg(F.min("id").alias("id"), F.min_by(F.struct("fp", "bands", "t"), "id").alias("x")))
+    known = nodes.where("id IS NOT NULL").select("id", F.col("x.fp").alias("fp"), F.col("x.bands").alias("bands"), F.col("x.t").alias("t"))
     clusters = cut(candidate_clusters(known))
     wanted = cut(known.join(clusters, known["id"] == clusters["node"]).select(F.col("id").alias("w_id"), F.col("t").alias("w_t"), "root"))
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = text.join(wanted.hint("merge"), (F.col("id") == F.col("w_id")) & (F.xxhash64("text") == F.col("w_t"))).select("root", "id", "text")
-    tiles = _tiled(sets, wanted, ["root"], CLUSTER)
-    dealt = tiles.repartition("root", "tile").sortWithinPartitions("root", "tile")
-    links = components(dealt.select("root", "tile", "id", "text").mapInPandas(_verify, "a long, b long"))
-    named = cut(
-        nodes.join(links, nodes["id"] == links["node"], "left").select(F.col("fp").alias("n_fp"), F.col("s").alias("n_s"), F.coalesce("root", "id").alias("component"))
-    )
-    return signed.join(named, (F.col("fp") == F.col("n_fp")) & (F.col("s") == F.col("n_s"))).select("id", "t", "component")
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), sound(text_col).alias("text"))
+    # Rows that repeat an id and a text stand for one.
+    sets = cut(text.join(wanted.hint("merge"), (F.col("id") == F.col("w_id")) & (F.col("t") == F.col("w_t"))).select("root", "id", "text").dropDuplicates(["id"]))
+    left, edges = settled(sets)
+    dealt = _tiled(left, left, ["root"], CLUSTER).repartition("root", "tile").sortWithinPartitions("root", "tile")
+    edges.append(dealt.select("root", "tile", "id", "text").mapInPandas(_verify, "a long, b long"))
+    links = components(reduce(DataFrame.unionByName, edges))
+    named = cut(nodes.join(links, nodes["id"] == links["node"], "left").select(F.col("s").alias("n_s"), F.coalesce("root", "id").alias("component")))
+    return signed.join(named, F.col("s") == F.col("n_s")).select("id", "t", "component")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each group of near-duplicates the row with the smallest id, with all its columns."""
     found = near_duplicates(docs, id_col, text_col)
-    copies = cut(found.where("id IS NOT NULL AND id <> component").select(F.col("id").alias("__c_id"), F.col("t").alias("__c_t")).distinct())
-    return docs.join(copies.hint("merge"), (docs[id_col].cast("long") == F.col("__c_id")) & (F.xxhash64(docs[text_col]) == F.col("__c_t")), "left_anti")
+    c_id, c_t = free_names(docs, "__c_id", "__c_t")
+    copies = cut(found.where("id IS NOT NULL AND id <> component").select(F.col("id").alias(c_id), F.col("t").alias(c_t)).distinct())
+    return docs.join(copies.hint("merge"), (docs[id_col].cast("long") == F.col(c_id)) & (F.xxhash64(docs[text_col]) == F.col(c_t)), "left_anti")

@@ -98,10 +98,11 @@ def jaccard_components(texts):
     return closure(ids, linked)
 
 
-@pytest.mark.parametrize(("block", "cluster"), [(4096, 384), (6, 8)])
-def test_near_duplicates_match_brute_force(spark, monkeypatch, block, cluster):
+@pytest.mark.parametrize(("block", "cluster", "pivots"), [(4096, 768, 8), (6, 8, 2)])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, block, cluster, pivots):
     monkeypatch.setattr(neardup, "BLOCK", block)
     monkeypatch.setattr(neardup, "CLUSTER", cluster)
+    monkeypatch.setattr(neardup, "PIVOTS", pivots)
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     texts, bases = {}, [[word() for _ in range(rng.randint(60, 200))] for _ in range(8)]
@@ -111,7 +112,9 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, block, cluster):
             w[rng.randrange(len(w))] = word()
         texts[i] = " ".join(w)
     texts |= {200: "", 201: "  ", 202: "tiny text", 203: "Tiny text", 204: "another one"}
-    df = spark.createDataFrame([*texts.items(), (None, texts[0])], "doc_id long, text string").selectExpr("*", "7 AS root", "8 AS __c_id2")
+    passage = " ".join(bases[0][:25])  # the same shingles, some of them many times: one document
+    texts[300], texts[301] = f"{texts[0]} {passage} {passage}", f"{texts[0]} {passage} {passage}" + f" {passage}" * 20
+    df = spark.createDataFrame([*texts.items(), (None, texts[0])], "doc_id long, text string").selectExpr("*", "7 AS root", "8 AS __c_id")
     got = {r.id: r.component for r in neardup.near_duplicates(df).collect() if r.id is not None}
     want = jaccard_components(texts)
     assert got == want
@@ -121,6 +124,40 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, block, cluster):
     assert kept.where("doc_id IS NULL").count() == 1
 
 
+def test_close_groups_are_settled_by_pivots(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CLUSTER", 10)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    sets = []
+    for i in range(60):  # close copies, some farther ones, and what only shares a third
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2]) if i < 45 else rng.choice([4, 6, 8]) if i < 55 else 90):
+            w[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        sets.append((1, i, " ".join(w)))
+    df = spark.createDataFrame(sets, "root long, id long, text string")
+    left, edges = neardup.settled(df)
+    rest = {r.id for r in left.collect()}
+    linked = [(r.a, r.b) for e in edges for r in e.collect()]
+    texts = {i: t for _, i, t in sets}
+    after = neardup.similar_labels([np.unique(simhash.shingle_hashes(texts[i], 5)) for i in sorted(rest)])
+    linked += [(sorted(rest)[k], sorted(rest)[int(v)]) for k, v in enumerate(after)]
+    assert len(rest) < 45 and closure(texts, linked) == jaccard_components(texts)
+
+
+def test_loss_of_fingerprints_and_bands():
+    """Pairs of sets with a similarity of 0.8: how many the radius and the bands lose."""
+    rng = np.random.default_rng(11)
+    lost_bits = lost_bands = 0
+    for _ in range(2000):
+        n = int(rng.integers(5, 200)) * 9
+        h = rng.integers(0, 2**63, n + n // 9 * 2, dtype=np.int64).view(np.uint64)
+        a, b = h[: 9 * (n // 9)], np.r_[h[: 8 * (n // 9)], h[n : n + n // 9]]
+        assert len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist())) == 0.8
+        lost_bits += int(np.int64(simhash.fingerprint(a) ^ simhash.fingerprint(b)).view(np.uint64)).bit_count() > neardup.RADIUS
+        lost_bands += not set(enumerate(neardup.bands(a))) & set(enumerate(neardup.bands(b)))
+    assert lost_bits <= 1 and lost_bands <= 3
+
+
 def brute_links(rows):
     units = {i: u for i, v in rows if (u := vectors.unit(v)) is not None}
     linked = [(a, b) for a in units for b in units if a != b and len(units[a]) == len(units[b]) and units[a] @ units[b] >= 0.9]
