@@ -16,7 +16,7 @@ Earlier means by document id (null first), then by text hash, then by line. Line
 are parted by space and the characters 9 to 13. A document all of whose lines go has an empty text.
 
 Cases: a null text stays null; rows with the same id and text are one document and all are returned alike; a null
-id is an id of its own; an empty table gives an empty result; other columns are kept as they are.
+id is an id of its own; an empty table gives an empty result; other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, cut, drop_cut, table
+from .common import WORD, cut, drop_cut, free_names, table
 
 #: Words that a repeated run must hold.
 MIN_WORDS = 50
@@ -149,29 +149,58 @@ def _kept_text(text, gone):
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None, length_col: str | None = None) -> DataFrame:
     """docs with the later copies taken out of the text; count_col is added with the number of lines deleted, and
     length_col, a column of docs, is set to the new length where the text changed."""
-    gone = cut(deleted_lines(docs, min_words, id_col, text_col)).select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("gone").alias("__gone"))
-    joined = docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(F.col("__d")) & (F.xxhash64(docs[text_col]) == F.col("__t")), "left")
-    new = F.when(F.col("__gone").isNull(), docs[text_col]).otherwise(_kept_text(docs[text_col], F.col("__gone")))
+    d, t, lost = free_names(docs, "__d", "__t", "__gone")
+    gone = cut(deleted_lines(docs, min_words, id_col, text_col)).toDF(d, t, lost)
+    joined = docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(F.col(d)) & (F.xxhash64(docs[text_col]) == F.col(t)), "left")
+    new = F.when(F.col(lost).isNull(), docs[text_col]).otherwise(_kept_text(docs[text_col], F.col(lost)))
     out = []
     for c in docs.columns:
         if c == text_col:
             out.append(new.alias(c))
         elif c == length_col:
-            out.append(F.when(F.col("__gone").isNull(), docs[c]).otherwise(F.length(new).cast(dict(docs.dtypes)[c])).alias(c))
+            out.append(F.when(F.col(lost).isNull(), docs[c]).otherwise(F.length(new).cast(dict(docs.dtypes)[c])).alias(c))
         else:
             out.append(docs[c])
     if count_col:
-        lost = F.aggregate("__gone", F.lit(0), lambda n, g: n + g["stop"] - g["pos"])
-        out.append(F.coalesce(lost, F.lit(0)).alias(count_col))
+        count = F.aggregate(lost, F.lit(0), lambda n, g: n + g["stop"] - g["pos"])
+        out.append(F.coalesce(count, F.lit(0)).alias(count_col))
     return joined.select(*out)
 
 
 def remove_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs without later copies of runs; a document that lost every line is dropped."""
-    out = dedup_lines(docs, min_words, count_col="__deleted", length_col="n_chars" if "n_chars" in docs.columns else None)
-    return out.where((F.col("__deleted") == 0) | (F.col("text") != "")).select(*docs.columns)
+    (count,) = free_names(docs, "__deleted")
+    out = dedup_lines(docs, min_words, count_col=count, length_col="n_chars" if "n_chars" in docs.columns else None)
+    return out.where((F.col(count) == 0) | (F.col("text") != "")).select(*docs.columns)
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs, count_col="n_deleted")
+
+
+#: The same in words: of every run that is the shortest with enough words from its first line or up to its last, all but the first go.
+OP3_SQL = r"""
+WITH l AS (
+  SELECT doc_id, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL)
+), shared AS (
+  SELECT l.*, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS e FROM l
+), twice AS (SELECT line FROM l GROUP BY line HAVING count(*) > 1
+), s AS (
+  SELECT doc_id, pos, line, w, e, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS stretch FROM shared WHERE line IN (SELECT line FROM twice)
+), runs AS (
+  SELECT a.doc_id, a.pos AS pos, min(b.pos) AS stop FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.stretch = b.stretch AND b.pos >= a.pos AND b.e - a.e + a.w >= 50 GROUP BY a.doc_id, a.pos
+  UNION
+  SELECT a.doc_id, max(b.pos) AS pos, a.pos AS stop FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.stretch = b.stretch AND b.pos <= a.pos AND a.e - b.e + b.w >= 50 GROUP BY a.doc_id, a.pos
+), named AS (
+  SELECT r.doc_id, r.pos, r.stop, string_agg(s.line, chr(10) ORDER BY s.pos) AS run FROM runs r JOIN s ON s.doc_id = r.doc_id AND s.pos BETWEEN r.pos AND r.stop GROUP BY r.doc_id, r.pos, r.stop
+), later AS (
+  SELECT doc_id, pos, stop FROM named QUALIFY row_number() OVER (PARTITION BY run, stop - pos ORDER BY doc_id, pos) > 1
+), gone AS (SELECT DISTINCT s.doc_id, s.pos FROM s JOIN later g ON g.doc_id = s.doc_id AND s.pos BETWEEN g.pos AND g.stop
+), kept AS (
+  SELECT l.doc_id, string_agg(CASE WHEN g.pos IS NULL THEN l.line END, chr(10) ORDER BY l.pos) AS text, CAST(count(g.pos) AS INTEGER) AS n_deleted
+  FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(k.n_deleted, 0) AS n_deleted FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op10_decontaminate
-from .linedup import op3_line_dedup
+from .linedup import OP3_SQL, op3_line_dedup
 from .mixing import op8_mixing
 from .pii import op9_pii
 from .quality import op7_quality
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": OP5_SQL, "op6_url_filter": OP6_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op5_chat_format": OP5_SQL, "op6_url_filter": OP6_SQL}
