@@ -122,6 +122,54 @@ def test_urls_match_sql_and_odd_urls(spark):
     assert got[9][2:] == (None, "allow") and got[10][2:] == (None, "block") and got[11][2:] == (None, "block") and got[None] == ("b:", "//c.org/", None, "allow")
 
 
+@pytest.mark.parametrize(
+    ("pattern", "want"),
+    [
+        (r"[^/]*/(?:[^/]*/)*(?:wp-login|wp-admin)(?:\.php)?(?:/|$)", ("wp",)), (r"(?:[^/]*\.)?ads?[0-9]*\.[^/]+/", ()), (r"[^/]*/(?:[^/]*/)*casino(?:[-_/.]|$)", ("casino",)),
+        (r"[^/]*/(?:[^/]*/)*cart/checkout(?:/|$)", ("cart", "checkout")), (r"[^/]*/(?:[^/]*/)*tag/[^/]+/page/[0-9]+(?:/|$)", ("tag", "page")), (r"(?:[^/]*\.)?spam-[^./]*\.[^/]+/", ("spam",)),
+        (r".*Shop\b", ()), (r"a\.b/c", ("a", "b")), (r"a\.b/c$", ("a", "b", "c")), (r"x+/(one)/(?:two)?/three\d/", ("one",)), (r"(?i:About)/", ("about",)), (r"\w*/é/k/", ("k",)), (r"[0-9]+-7/(?=x)9\.", ("7", "9")), (r"(?:ab|cd)/", ()),
+    ],
+)
+def test_literal_tokens_of_patterns(pattern, want):
+    assert set(urls.literals(pattern)) <= set(want) and (set(want) - {"wp", "k", "9"}) <= set(urls.literals(pattern))
+
+
+def test_literal_tokens_stand_in_every_fitting_url():
+    rng = random.Random(2)
+    bits = ["a", "b1", "/", ".", "-", "(?:a|/)", "(?:b/)*", "[a-z]+", "[^/]*", "[0-9]", "(?:x)?", "$", r"\d+", "(a/b)"]
+    letters = "ab1x/.-9"
+    for _ in range(1500):
+        pattern = "".join(rng.choice(bits) for _ in range(rng.randint(1, 6)))
+        for _ in range(20):
+            text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 7)))
+            if re.match(pattern, text):
+                assert set(urls.literals(pattern)) <= set(urls.TOKEN.findall(text)), (pattern, text)
+
+
+def test_many_rules_match_brute_force(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(3))
+    sites = [urls.Rule(rng.choice(["allow", "block"]), f"{word()}.{rng.choice(['net', 'org'])}", f"/{word()}") for _ in range(3000)]
+    sites = list({r.name: r for r in sites}.values())
+    patterns = [urls.Rule("block", pattern=rf"[^/]*/(?:[^/]*/)*{word()}/{word()}(?:/|$)") for _ in range(1500)]
+    rows = [(i, rng.choice(["http://{}.{}.net/{}/{}/{}", "https://{}.{}.ORG/{}/{}/{}?q"]).format(*[word() for _ in range(5)])) for i in range(400)]
+    df = spark.createDataFrame([*rows, rows[0], (900, None), (901, "http://a.net/" + "x/" * 50_000 + "abc")], "page_id long, url string").selectExpr("*", "1 AS n", "2 AS token")
+    got = urls.url_filter(df, sites, patterns).collect()
+    assert len(got) == 403 and urls.url_filter(df.limit(0), sites, patterns).count() == 0
+    fits, hosts = 0, {}
+    for s in sites:
+        hosts.setdefault(s.host, []).append(s)
+    compiled = [(p.pattern, re.compile(p.pattern)) for p in patterns]
+    for r in got:
+        ends = [r.host.split(".", k)[-1] for k in range(r.host.count(".") + 1)]
+        named = [s for h in ends for s in hosts.get(h, []) if r.path.startswith(s.path)]
+        blocked = [p for p, c in compiled if c.match(r.host + r.path)] if len(r.path) < 1000 else []
+        best = max(named, key=lambda s: len(s.name)) if named else None
+        assert (r.rule, r.verdict, r.pattern) == ((best.name, best.action, None) if best else (None, "block", blocked[0]) if blocked else (None, "allow", None))
+        fits += bool(named or blocked)
+    assert fits > 20
+
+
 def plain_pii(text):
     digits = lambda m: re.sub("[^0-9]", "", m[0])
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
@@ -341,6 +389,16 @@ def test_every_chat_gives_one_line_a_message(spark):
     assert sorted((r.conv_id, r.turn) for r in out.collect()) == sorted((c, t) for c, t, _, _ in rows)
 
 
+def test_line_dedup_of_the_data_matches_sql_and_is_native(spark):
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    rel = c.sql(oracle_sql()["op3_line_dedup"])
+    names = [d[0] for d in rel.description]
+    out = linedup.op3_line_dedup(spark, DATA)
+    assert sorted(map(repr, rel.fetchall())) == sorted(repr(tuple(r[n] for n in names)) for r in out.collect())
+    assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
+
+
 def test_chat_plan_is_native(spark):
     plan = toolcalls.format_chats(table(spark, DATA, "conversations"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -451,6 +509,38 @@ def test_ordinal_holds_out():
     assert tails[0] >= tails[1]
 
 
+def test_ordinal_gradient_and_thresholds_match_plain_ones():
+    rng = np.random.default_rng(4)
+    sample = text_sample(labelled(80, 3))
+    y = np.array([g for (g,) in sample.labels])
+    sample, buckets = sample.select(y, 1, 0)
+    weight, w, gaps = quality.row_weights(y), rng.normal(size=sample.size) * 0.3, np.array([0.2, -0.4])
+    value, (by_w, by_gaps) = quality.likelihood(sample, y, weight, w, gaps, 0.01)
+    # The value, written out:
+    t = [gaps[0], gaps[0] + np.log1p(np.exp(gaps[1]))]
+    total = 0.0
+    for r in range(sample.rows):
+        s = sum(w[i] * v for i, v, k in zip(sample.idx, sample.value, sample.row, strict=True) if k == r)
+        tails = [1.0, *(1 / (1 + np.exp(-(s - x))) for x in t), 0.0]
+        total += weight[r] * np.log(tails[y[r]] - tails[y[r] + 1])
+    assert np.isclose(value, total - 0.01 * (w @ w) / 2)
+    f = lambda a, b: quality.likelihood(sample, y, weight, a, b, 0.01)[0]
+    step = 1e-5
+    for k in [*rng.integers(0, sample.size, 12), 0]:
+        e = np.zeros(sample.size)
+        e[k] = step
+        assert np.isclose((f(w + e, gaps) - f(w - e, gaps)) / (2 * step), by_w[k], atol=1e-6)
+    for k in (0, 1):
+        e = np.eye(2)[k] * step
+        assert np.isclose((f(w, gaps + e) - f(w, gaps - e)) / (2 * step), by_gaps[k], atol=1e-6)
+    # With nothing to tell grades apart, thresholds are where the weighted shares of the grades put them.
+    flat = text_sample([("", int(g)) for g in rng.choice([0, 1, 2], 300, p=[0.2, 0.3, 0.5])])
+    grades = np.array([g for (g,) in flat.labels])
+    model = quality.fit(flat, grades, lasso=0.0)
+    share = np.array([quality.row_weights(grades)[grades >= k].sum() for k in (1, 2)])
+    assert np.allclose(model.tails("", Buckets()), share, atol=5e-3)
+
+
 def test_toxic_stems_tell_documents_apart():
     def stemmed(n, seed):
         rng = random.Random(seed)
@@ -520,16 +610,20 @@ def plain_rates(t, p, target, w, rounds=4000):
 
 
 @pytest.mark.parametrize("shares", [(0.9, 0.1, 0.0), (0.34, 0.33, 0.33), (0.0, 0.0, 1.0)])
-def test_rates_are_those_of_a_plain_solver(spark, shares):
+def test_rates_are_those_of_a_plain_solver(spark, monkeypatch, shares):
     rng = np.random.default_rng(3)
     p = rng.dirichlet([0.7, 0.7, 0.7], 60) * [1, 1, 0.3]
     p /= p.sum(axis=1, keepdims=True)
     t = rng.integers(5, 500, 60)
     soft = spark.createDataFrame([(int(n), q.tolist()) for n, q in zip(t, p, strict=True)], "tokens long, posterior array<double>").repartition(3)
-    steps, total, target = mixing.fit_rates(soft, np.array(shares), passes=150)
+    summed = mixing._summed
+    sums = lambda tokens, q: np.r_[tokens @ q, (q**2).sum()]
+    assert np.allclose(summed(soft, 4, sums), sums(t.astype(float), p))
+    monkeypatch.setattr(mixing, "_summed", lambda rows, size, sums: sums(t.astype(float), p))  # the many passes need no table
+    steps, total, target = mixing.fit_rates(soft, np.array(shares), passes=400)
     x, _ = mixing.rates(p, steps)
     assert (x >= 0).all() and np.allclose((t * x) @ p, total) and np.isclose(target.sum(), t.sum())
-    w = 1 / np.maximum(target, 1e-3 * target.sum())
+    w = 1 / np.maximum(target, mixing.FLOOR * target.sum())
     want = plain_rates(t.astype(float), p, target, w)
     f = lambda v: w @ (v - target) ** 2
     assert f(total) <= f(want) + 2e-3 * f(t @ p) and np.abs(total - want).sum() <= 0.02 * target.sum()
