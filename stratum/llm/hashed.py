@@ -101,17 +101,36 @@ def vector(text: str, buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[np.arange(DENSE), idx], np.r_[dense, value]
 
 
+class Weights:
+    """Weights of some buckets, a number or a row each; all others weigh nothing. Only those are sent to tasks."""
+
+    def __init__(self, buckets: np.ndarray, values: np.ndarray):
+        self.buckets, self.values, self._place = buckets, values, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_place": None}
+
+    def score(self, idx: np.ndarray, value: np.ndarray):
+        """Sum of each bucket's weight times its value."""
+        if self._place is None:
+            self._place = np.full(BUCKETS, -1, np.int32)
+            self._place[self.buckets] = np.arange(len(self.buckets))
+        at = self._place[idx]
+        has = at >= 0
+        return value[has] @ self.values[at[has]]
+
+
 class Sample:
     """Vectors of bounded many labelled documents, all their entries in a row."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[tuple]):
-        self.rows, self.labels = len(vectors), labels
+        self.rows, self.labels, self.size = len(vectors), labels, BUCKETS
         self.row = np.repeat(np.arange(self.rows), [len(i) for i, _ in vectors]) if vectors else np.empty(0, int)
         self.idx = np.concatenate([i for i, _ in vectors]) if vectors else np.empty(0, int)
         self.value = np.concatenate([v for _, v in vectors]) if vectors else np.empty(0)
 
-    def select(self, y: np.ndarray, shared: int = SHARED, errors: float = ERRORS) -> Sample:
-        """This sample with the buckets alone that tell something of the labels y (numbers from 0)."""
+    def select(self, y: np.ndarray, shared: int = SHARED, errors: float = ERRORS) -> tuple[Sample, np.ndarray]:
+        """(this sample with the buckets alone that tell something of the labels y (numbers from 0), numbered anew; these buckets)."""
         n, per = self.rows, np.bincount(y)
         have = np.bincount(self.idx, minlength=BUCKETS)
         telling = have >= min(shared, max(1, n // 8))
@@ -125,8 +144,10 @@ class Sample:
         telling[:DENSE] = True
         pick = telling[self.idx]
         out = Sample([], self.labels)
-        out.rows, out.row, out.idx, out.value = n, self.row[pick], self.idx[pick], self.value[pick]
-        return out
+        buckets = np.nonzero(telling)[0]
+        out.rows, out.row, out.value, out.size = n, self.row[pick], self.value[pick], len(buckets)
+        out.idx = (np.cumsum(telling) - 1)[self.idx[pick]]
+        return out, buckets
 
     def rows_where(self, keep: np.ndarray) -> Sample:
         """This sample with some of its rows."""
@@ -140,7 +161,7 @@ class Sample:
 
     def pull(self, by_row: np.ndarray) -> np.ndarray:
         """Sum of each row's vector times its number."""
-        return np.bincount(self.idx, weights=by_row[self.row] * self.value, minlength=BUCKETS)
+        return np.bincount(self.idx, weights=by_row[self.row] * self.value, minlength=self.size)
 
 
 def text_sample(rows: list[tuple], stems: bool = False) -> Sample:

@@ -5,7 +5,7 @@ sources unless another column is named. It sees hashed text and, as one more fea
 known; half the labelled documents are shown without it, so that the text decides where it is not. With t_i its tokens and p_i its
 posterior, a document adds a_i = t_i p_i to the expected domain totals. Rates x_i >= 0 are fitted so that sum x_i a_i meets the targets T.
 
-They minimise f(x) = sum_d w_d (sum_i x_i a_id - T_d)^2 / 2 with w_d = 1 / T_d by projected gradient from x = 1. Steps are measured by
+They minimise f(x) = sum_d w_d (sum_i x_i a_id - T_d)^2 / 2 with w_d = 1 / T_d (bounded by FLOOR) by projected gradient from x = 1. Steps are measured by
 tokens (a rate moves by p_i, not by a_i, so that long documents are not favoured), x <- max(0, y - eta p_i.g) with
 g = w (sum y_i a_i - T), and eta is one over the largest eigenvalue of the D x D matrix sum t_i p_i p_i' w, with which a step
 from y = x never raises f. y goes on beyond x as in accelerated gradients; whenever f rose that is given up for a step. The rates
@@ -34,40 +34,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, free_names, sound, table
-from .hashed import BUCKETS, LABELLED_ROWS, Buckets, Sample, labelled_sample, tag, vector
+from .hashed import LABELLED_ROWS, Buckets, Sample, Weights, labelled_sample, tag, vector
 
 #: Domains at most, where no targets name them: those with most labelled documents.
 DOMAINS = 64
 PASSES = 40
 #: Residual at which passes end, and the share of f that PATIENCE passes have to take off for it to go on.
 CLOSE, GAIN, PATIENCE = 1e-4, 1e-3, 6
+#: A domain's misses weigh in by its target, or by this share of all targets if that is more.
+FLOOR = 1e-2
 #: The figure of a known domain beside those of the text.
 TAG = 4.0
 
 
 class Softmax:
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights
+    def __init__(self, weights: Weights, present: np.ndarray):
+        """present: domains that labelled rows have; the others get posterior 0."""
+        self.weights, self.present = weights, present
 
     def posterior(self, text: str, buckets: Buckets, known: int | None = None) -> np.ndarray:
         """known: the bucket of the domain that the document is known to have."""
-        if not self.weights.shape[1]:
+        if not len(self.present):
             return np.empty(0)
         idx, value = vector(text, buckets)
+        s = self.weights.score(idx, value)
         if known is not None:
-            idx, value = np.r_[idx, known], np.r_[value, TAG]
-        s = (value[:, None] * self.weights[idx]).sum(axis=0)
-        s[np.isnan(s)] = -np.inf  # a domain without labelled rows, times a figure of 0
+            s = s + self.weights.score(np.array([known]), np.array([TAG]))
+        if self.present.any():
+            s = np.where(self.present, s, -np.inf)
         e = np.exp(s - s.max())
         return e / e.sum()
 
 
 def fit(sample: Sample, y: np.ndarray, domains: int, rounds: int = 40, rate: float = 0.1, ridge: float = 1e-4) -> Softmax:
     """Multinomial logistic regression by Adam; y holds domain numbers. Domains without rows get no posterior."""
-    w = np.zeros((BUCKETS, domains))
     if not sample.rows:
-        return Softmax(w)
-    sample, gold = sample.select(y), np.eye(domains)[y]
+        return Softmax(Weights(np.empty(0, int), np.zeros((0, domains))), np.zeros(domains, bool))
+    (sample, buckets), gold = sample.select(y), np.eye(domains)[y]
+    w = np.zeros((sample.size, domains))
     absent = gold.sum(axis=0) == 0
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
@@ -79,8 +83,7 @@ def fit(sample: Sample, y: np.ndarray, domains: int, rounds: int = 40, rate: flo
         m = 0.9 * m + 0.1 * rise
         v = 0.99 * v + 0.01 * rise * rise
         w += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    w[:, absent] = -np.inf
-    return Softmax(w)
+    return Softmax(Weights(buckets, w), ~absent)
 
 
 def shown(sample: Sample, names: list[str], y: np.ndarray) -> Sample:
@@ -159,7 +162,7 @@ def fit_rates(soft: DataFrame, shares: np.ndarray, budget: float = 1.0, passes:
     if not total.sum() or not wanted.sum():
         return [], total, total
     target = budget * total.sum() * wanted / wanted.sum()
-    w = 1 / np.maximum(target, 1e-3 * target.sum())
+    w = 1 / np.maximum(target, FLOOR * target.sum())
     eta = 1 / np.linalg.eigvalsh(np.sqrt(w)[:, None] * second * np.sqrt(w)).max()
     steps: list[Step] = []
     at_y, pull, falls = total, 1.0, [(float(w @ (total - target) ** 2), 0, total)]

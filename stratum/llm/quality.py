@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import free_names, sound, table
-from .hashed import BUCKETS, LABELLED_ROWS, Buckets, Sample, labelled_sample, vector
+from .hashed import LABELLED_ROWS, Buckets, Sample, Weights, labelled_sample, vector
 
 GRADES = 3
 KEEP = 0.5
@@ -42,34 +42,25 @@ def _sigmoid(x):
 class Ordinal:
     """Weights and thresholds of the cumulative link."""
 
-    def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
+    def __init__(self, weights: Weights, thresholds: np.ndarray):
         self.weights, self.thresholds = weights, thresholds
 
     def tails(self, text: str, buckets: Buckets) -> np.ndarray:
         """P(grade >= k) for k = 1, 2."""
         idx, value = vector(text, buckets)
-        return _sigmoid(self.weights[idx] @ value - self.thresholds)
+        return _sigmoid(self.weights.score(idx, value) - self.thresholds)
 
 
 def fit(sample: Sample, y: np.ndarray, rounds: int = 400, rate: float = 0.1, ridge: float = 1e-4, lasso: float = LASSO) -> Ordinal:
     """Maximum likelihood by Adam; rare grades weigh in more than their number of rows."""
-    weights, gaps = np.zeros(BUCKETS), np.array([0.0, 0.0])
     if len(set(y.tolist())) < 2:
-        return Ordinal(weights, np.zeros(GRADES - 1))
-    sample, n = sample.select(y, SHARED, ERRORS), sample.rows
-    have = np.bincount(y, minlength=GRADES)
-    share = np.where(have > 0, n / np.maximum(1, have), 0) ** 0.5
-    weight = share[y] / share[y].sum()
+        return Ordinal(Weights(np.empty(0, int), np.empty(0)), np.zeros(GRADES - 1))
+    sample, buckets = sample.select(y, SHARED, ERRORS)
+    weights, gaps = np.zeros(sample.size), np.array([0.0, 0.0])
+    weight = row_weights(y)
     memory = [[np.zeros_like(p), np.zeros_like(p)] for p in (weights, gaps)]
-    at = np.arange(n)
     for step in range(1, rounds + 1):
-        thresholds = _ordered(gaps)
-        tail = np.c_[np.ones(n), _sigmoid(sample.scores(weights)[:, None] - thresholds), np.zeros(n)]
-        p = np.maximum(tail[at, y] - tail[at, y + 1], 1e-9)
-        slope = tail * (1 - tail)  # of each tail by the score
-        by_score = weight * (slope[at, y] - slope[at, y + 1]) / p
-        by_threshold = np.array([(weight / p * slope[:, k] * ((y == k - 1) * 1.0 - (y == k))).sum() for k in (1, 2)])
-        rises = (sample.pull(by_score) - ridge * weights, np.array([by_threshold.sum(), by_threshold[1] * _sigmoid(gaps[1])]))
+        _, rises = likelihood(sample, y, weight, weights, gaps, ridge)
         for value, rise, m in zip((weights, gaps), rises, memory, strict=True):
             m[0] = 0.9 * m[0] + 0.1 * rise
             m[1] = 0.99 * m[1] + 0.01 * rise * rise
@@ -77,7 +68,27 @@ def fit(sample: Sample, y: np.ndarray, rounds: int = 400, rate: float = 0.1, rid
             value += pace * (m[0] / (1 - 0.9**step))
             if value is weights:
                 value[:] = np.sign(value) * np.maximum(np.abs(value) - pace * lasso, 0)
-    return Ordinal(weights, _ordered(gaps))
+    return Ordinal(Weights(buckets, weights), _ordered(gaps))
+
+
+def row_weights(y: np.ndarray) -> np.ndarray:
+    """Of each row, in all 1: rare grades weigh in more than their number of rows."""
+    have = np.bincount(y, minlength=GRADES)
+    share = np.where(have > 0, len(y) / np.maximum(1, have), 0) ** 0.5
+    return share[y] / share[y].sum()
+
+
+def likelihood(sample: Sample, y: np.ndarray, weight: np.ndarray, weights: np.ndarray, gaps: np.ndarray, ridge: float) -> tuple[float, tuple[np.ndarray, np.ndarray]]:
+    """(weighted log likelihood less the ridge, its gradient by the weights and by what gives the thresholds)."""
+    n = sample.rows
+    at = np.arange(n)
+    tail = np.c_[np.ones(n), _sigmoid(sample.scores(weights)[:, None] - _ordered(gaps)), np.zeros(n)]
+    p = np.maximum(tail[at, y] - tail[at, y + 1], 1e-9)
+    slope = tail * (1 - tail)  # of each tail by the score
+    by_score = weight * (slope[at, y] - slope[at, y + 1]) / p
+    by_threshold = np.array([(weight / p * slope[:, k] * ((y == k - 1) * 1.0 - (y == k))).sum() for k in (1, 2)])
+    value = float(weight @ np.log(p)) - ridge * float(weights @ weights) / 2
+    return value, (sample.pull(by_score) - ridge * weights, np.array([by_threshold.sum(), by_threshold[1] * _sigmoid(gaps[1])]))
 
 
 def _ordered(gaps: np.ndarray) -> np.ndarray:
