@@ -46,7 +46,8 @@ def statements(engine: Engine, text: str) -> None:
         for p in failure.problems:
             print(f"{p.code} at {p.span.start}-{p.span.end}: {p.message}")
     except PlanError as error:
-        print(error)
+        for problem in error.problems:
+            print(problem)
 
 
 def main(root: str) -> None:

@@ -19,6 +19,33 @@ def sortable(column: Column, kind: str) -> Column:
     raise ValueError(kind)
 
 
+# One code of a string: any byte but 00, or the escaped one.
+_CODE = "(?:0[1-9A-F]|[1-9A-F][0-9A-F])"
+
+
+def unsorted_key(column: Column, kinds: list[str]) -> list[Column]:
+    """The values of a key that sortable_key() made of columns of these kinds; null where the key is none such."""
+    out, rest = [], column
+    for kind in kinds:
+        if kind == "Int64":
+            code, size = F.substring(rest, 1, 16), F.lit(16)
+            value = F.conv(code, 16, -10).cast("long").bitwiseXOR(F.lit(-(2**63)))
+            value = F.when(code.rlike("^[0-9A-F]{16}$"), value)
+        elif kind == "Bool":
+            code, size = F.substring(rest, 1, 2), F.lit(2)
+            value = F.when(code == "01", F.lit(True)).when(code == "00", F.lit(False))
+        elif kind == "String":
+            code = F.regexp_extract(rest, f"^((?:{_CODE}|00FF)*)0000", 1)
+            size = F.length(code) + 4
+            # Each escaped byte is looked for where the last one ended, so that codes stay in step.
+            value = F.when(rest.rlike(f"^(?:{_CODE}|00FF)*0000"), F.decode(F.unhex(F.regexp_replace(code, f"\\G((?:{_CODE})*)00FF", "$100")), "UTF-8"))
+        else:
+            raise ValueError(kind)
+        out.append(value)
+        rest = F.substr(rest, size + 1)
+    return out
+
+
 def sortable_key(columns: list[tuple[Column, str]]) -> Column:
     """Several columns as one key."""
     return reduce(lambda a, b: F.concat(a, b), [sortable(c, k) for c, k in columns])

@@ -53,9 +53,16 @@ def point_get(log: DataFrame, key: dict[str, object], version: Sequence[str] = V
     return fold(log.where(reduce(Column.__and__, wanted)), list(key), version)
 
 
-def seek(log: DataFrame, key: str, lower: object) -> DataFrame:
-    """Versions of keys from the bound on."""
-    return log.where(F.col(key) >= F.lit(lower))
+def seek(log: DataFrame, keys: str | Sequence[str], lower: object) -> DataFrame:
+    """Versions of keys from the bound on; of a composite key, or its first columns, in the order of its columns.
+
+    The first column's bound stands by itself, so that it reaches the scan."""
+    if isinstance(keys, str):
+        keys, lower = [keys], (lower,)
+    beyond = F.lit(True)
+    for key, bound in reversed(list(zip(keys, lower, strict=False))):
+        beyond = (F.col(key) > F.lit(bound)) | ((F.col(key) == F.lit(bound)) & beyond)
+    return log.where(F.col(keys[0]) >= F.lit(lower[0])).where(beyond) if lower else log
 
 
 def ordered(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..engine import Engine
 from ..functions import hlc
-from ..functions.sortable import sortable_key
+from ..functions.sortable import sortable_key, unsorted_key
 from ..operators import versions as v
 from ..sources.tables import read_table as read
 
@@ -40,6 +41,8 @@ _LATEST = "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id
 def scratch(spark: SparkSession) -> str:
     """A fresh folder that the cluster shares; a local one only where none is configured."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{shared.rstrip('/')}/stratum-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='stratum-')}"
 
 
@@ -72,7 +75,7 @@ def snapshot_latest(spark, sf_dir):
 def merge_runs(spark, sf_dir):
     orders = read(spark, sf_dir, "orders")
     first = orders.where("o_orderkey % 3 <> 0").withColumn("run", F.lit(1))
-    second = orders.where("o_orderkey % 2 = 0").withColumn("run", F.lit(2))
+    second = orders.where("o_orderkey % 2 = 0 OR o_orderkey % 3 = 0").withColumn("run", F.lit(2))
     return v.fold(v.merge([first, second]), ["o_orderkey"], ["run"])
 
 
@@ -125,6 +128,37 @@ def sortable_keys(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", key.alias("sort_key"))
 
 
+def sortable_decode(spark, sf_dir):
+    """Keys taken apart again."""
+    kinds = ["String", "Int64", "Bool"]
+    keys = sortable_keys(spark, sf_dir).withColumns(dict(zip(("segment", "custkey", "in_debt"), unsorted_key(F.col("sort_key"), kinds), strict=True)))
+    return keys.select("segment", "custkey", "in_debt")
+
+
+def seek_composite(spark, sf_dir):
+    """From a composite key on, line number 3 of order 1000, in the order of both columns."""
+    return v.fold(v.seek(read(spark, sf_dir, "lineitem"), LINE_KEY, (1000, 3)), LINE_KEY, LINE_VERSION)
+
+
+def _lines(spark, sf_dir) -> Engine:
+    """A table of order lines keyed by order and line, filled in two batches."""
+    engine = Engine(spark, scratch(spark))
+    engine.execute("create database d; create type d.L { o: Int64, n: Int64, flag: String }; create table d.lines : d.L { primary key (o, n) };")
+    rows = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS o", "l_linenumber AS n", "l_returnflag AS flag", "l_shipdate AS shipped", "l_partkey AS part")
+    for where in ("o < 1500", "o >= 1500"):
+        engine.insert_frame("d.lines", rows.where(where), order=["shipped", "part"])
+    return engine
+
+
+def table_seek(spark, sf_dir):
+    """The engine's seek: the run whose keys all lie below the bound is not opened."""
+    return _lines(spark, sf_dir).seek("d.lines", (2000, 2))
+
+
+def table_get(spark, sf_dir):
+    return _lines(spark, sf_dir).get("d.lines", (7, 3))
+
+
 def insert_literals(spark, sf_dir):
     return _engine(spark).execute("select * from shop.items;")[0]
 
@@ -168,13 +202,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f"scan_{t}": _scan(t) for t in TABLES}
     named = (
         project_columns, project_reorder, upsert_latest_event, snapshot_latest, merge_runs, tombstone_raw, tombstone_live, point_get, seek_from,
-        composite_pk, sst_stats, compaction_equivalence, hlc_pack_unpack, sortable_keys, insert_literals, script_results, list_databases, list_tables,
+        composite_pk, seek_composite, table_seek, table_get, sst_stats, compaction_equivalence, hlc_pack_unpack, sortable_keys, sortable_decode, insert_literals, script_results, list_databases, list_tables,
         list_types, bulk_table, where_after_fold, where_statement,
     )
     return out | {f.__name__: f for f in named}
 
 
 _FOLD_LINES = "QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC) = 1"
+_LINES = "SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC) = 1"
 _MARKED = "SELECT event_id, ts, user_id, event_type, CAST(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS INTEGER) AS _kind FROM events"
 _RAW = f"SELECT * FROM ({_MARKED}) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
 
@@ -186,7 +221,7 @@ def oracle_sql() -> dict[str, str]:
         "project_reorder": "SELECT l_shipdate, l_orderkey, l_quantity FROM lineitem",
         "upsert_latest_event": _LATEST,
         "snapshot_latest": _LATEST.replace("FROM events", "FROM events WHERE event_id <= 4000"),
-        "merge_runs": "SELECT * FROM (SELECT *, CAST(1 AS INTEGER) AS run FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT *, CAST(2 AS INTEGER) AS run FROM orders WHERE o_orderkey % 2 = 0) QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY run DESC) = 1",
+        "merge_runs": "SELECT * FROM (SELECT *, CAST(1 AS INTEGER) AS run FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT *, CAST(2 AS INTEGER) AS run FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0) QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY run DESC) = 1",
         "tombstone_raw": _RAW,
         "tombstone_live": f"SELECT * FROM ({_RAW}) WHERE _kind = 1",
         "point_get": "SELECT * FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id DESC LIMIT 1",
@@ -196,6 +231,10 @@ def oracle_sql() -> dict[str, str]:
         "compaction_equivalence": f"SELECT * FROM lineitem {_FOLD_LINES}",
         "hlc_pack_unpack": "SELECT event_id, ((epoch_us(ts) // 1000) << 16) | (event_id % 65536) AS hlc, epoch_us(ts) // 1000 AS ms, event_id % 65536 AS counter FROM events",
         "sortable_keys": "SELECT c_custkey, hex(c_mktsegment) || '0000' || lpad(hex((CAST(c_custkey AS HUGEINT) + 9223372036854775808)::UBIGINT), 16, '0') || CASE WHEN c_acctbal < 0 THEN '01' ELSE '00' END AS sort_key FROM customer",
+        "sortable_decode": "SELECT c_mktsegment AS segment, CAST(c_custkey AS BIGINT) AS custkey, c_acctbal < 0 AS in_debt FROM customer",
+        "seek_composite": f"SELECT * FROM lineitem WHERE l_orderkey > 1000 OR (l_orderkey = 1000 AND l_linenumber >= 3) {_FOLD_LINES}",
+        "table_seek": f"SELECT CAST(l_orderkey AS BIGINT) AS o, CAST(l_linenumber AS BIGINT) AS n, l_returnflag AS flag FROM ({_LINES}) WHERE l_orderkey > 2000 OR (l_orderkey = 2000 AND l_linenumber >= 2)",
+        "table_get": f"SELECT CAST(l_orderkey AS BIGINT) AS o, CAST(l_linenumber AS BIGINT) AS n, l_returnflag AS flag FROM ({_LINES}) WHERE l_orderkey = 7 AND l_linenumber = 3",
         "insert_literals": "SELECT CAST(id AS BIGINT) AS id, label, sold FROM (VALUES (1, 'uno', true), (-7, 'minus', true), (9223372036854775807, '', false)) t(id, label, sold)",
         "script_results": "SELECT c, CAST(a AS BIGINT) AS a, b FROM (VALUES (false, 1, 'x'), (true, 2, 'x'), (false, 1, 'y')) t(c, a, b)",
         "list_databases": "SELECT database, CAST(tables AS BIGINT) AS tables FROM (VALUES ('shop', 2), ('spare', 1)) t(database, tables)",

@@ -27,6 +27,14 @@ class Files:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(folder)))
 
+    def size(self, folder: str) -> int:
+        """Bytes of the files in a folder."""
+        return self._fs.getContentSummary(self._path(folder)).getLength()
+
+    def age(self, name: str) -> float:
+        """Seconds since a file or folder was changed."""
+        return (self._jvm.System.currentTimeMillis() - self._fs.getFileStatus(self._path(name)).getModificationTime()) / 1000
+
     def read(self, name: str) -> str:
         stream = self._fs.open(self._path(name))
         try:

@@ -146,6 +146,107 @@ def test_batches_compact_by_themselves(spark, root):
     assert rows(e.table("main.users")) == [(0, "v4"), (1, "v3")]
 
 
+def test_selects_stay_valid_when_the_table_is_compacted(spark, root):
+    e = Engine(spark, root)
+    e.execute(USERS + 'insert into main.users { id: 1, username: "first" };')
+    before = e.execute("select * from main.users;")[0]
+    mixed = e.execute("".join(f'insert into main.users {{ id: {i}, username: "u{i}" }}; select username from main.users;' for i in range(2, 8)))[1::2]
+    t = e.catalog.table("main", "users").id
+    assert len(e.store.runs(t)) < 4 < len(e.store.files.names(f"tables/{t}/runs"))
+    assert rows(before) == [(1, "first")] and [len(rows(m)) for m in mixed] == [2, 3, 4, 5, 6, 7]
+    again = Engine(spark, root)  # within the grace time nothing goes
+    assert rows(before) == [(1, "first")] and len(rows(again.table("main.users"))) == 7
+    spark.range(1).write.parquet(f"{root}/tables/{t}/runs/half-written")
+    swept = Engine(spark, root, grace_s=0)
+    assert len(swept.store.files.names(f"tables/{t}/runs")) == len(swept.store.runs(t)) and len(rows(swept.table("main.users"))) == 7
+
+
+def test_frames_and_deletes_compact_and_commits_are_rotated(spark, root):
+    e = Engine(spark, root)
+    e.execute(USERS)
+    t = e.catalog.table("main", "users").id
+    for i in range(5):
+        e.insert_frame("main.users", spark.createDataFrame([(i, f"n{i}"), (9, f"n{i}")], "id int, username string").selectExpr("username", "id", "1 AS more"))
+    for i in range(3):
+        e.delete_keys("main.users", [(i,)])
+    assert len(e.store.runs(t)) < 4 and rows(e.table("main.users")) == [(3, "n3"), (4, "n4"), (9, "n4")]
+    assert {r.run for r in e.runs("main.users").collect()} == {r.name for r in e.store.runs(t)} and all(r.bytes > 0 and r.entries for r in e.runs("main.users").collect())
+    e.gc()
+    e.store._commits[t].rotate()
+    assert len(e.store.files.names(f"tables/{t}/commits")) == 1
+    e.execute('insert into main.users { id: 5, username: "later" };')
+    again = Engine(spark, root)
+    assert rows(again.table("main.users")) == [(3, "n3"), (4, "n4"), (5, "later"), (9, "n4")] and again.store.next_seq == e.store.next_seq
+
+
+def test_frames_are_checked_before_they_are_committed(spark, root):
+    e = Engine(spark, root)
+    e.execute(USERS)
+    t = e.catalog.table("main", "users").id
+    frame = lambda data, schema: spark.createDataFrame(data, schema)
+    for data, schema, error in (
+        ([(None, "a"), (1, "b")], "id long, username string", errors.NullValue), ([(1, None)], "id long, username string", errors.NullValue),
+        ([("1", "a")], "id string, username string", errors.TypeMismatch), ([(1.0, "a")], "id double, username string", errors.TypeMismatch), ([(1,)], "id long", errors.MissingField),
+    ):
+        with pytest.raises(error):
+            e.insert_frame("main.users", frame(data, schema))
+    with pytest.raises(errors.NullValue):
+        e.delete_keys("main.users", [(None,)])
+    assert e.store.runs(t) == [] and e.store.files.names(f"tables/{t}/runs") == []
+    e.insert_frame("main.users", frame([(1, "a", 2), (1, "b", 3), (1, "c", 1)], "id short, username string, v int"), order=["v"])
+    assert rows(e.table("main.users")) == [(1, "b")]
+
+
+def test_all_problems_of_a_statement_are_told(spark, root):
+    e = Engine(spark, root)
+    e.execute(USERS)
+    for text, kinds in (
+        ("insert into main.users { id: true, nope: 1, other: 2 };", ["FieldNotFound", "FieldNotFound", "TypeMismatch", "MissingField"]),
+        ("select a b id from main.users where c = 1 and id = true;", ["FieldNotFound", "FieldNotFound", "FieldNotFound", "TypeMismatch"]),
+        ("create type main.V { a: Int, b: Text, a: Bool };", ["TypeNotFound", "TypeNotFound", "DuplicateField"]),
+        ("create table main.t : main.User { primary key (x, y) };", ["FieldNotFound", "FieldNotFound"]),
+    ):
+        with pytest.raises(errors.PlanError) as got:
+            e.execute(text)
+        assert [type(p).__name__ for p in got.value.problems] == kinds
+    with pytest.raises(errors.DuplicateField):
+        e.catalog.create_type(1, "W", [("a", "Int64"), ("a", "Bool")])
+
+
+def _rows_read(df):
+    """Rows that the scans of a plan gave, after it ran."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    total, todo = 0, [leaves.apply(i) for i in range(leaves.size())]
+    while todo:
+        leaf = todo.pop()
+        if "QueryStage" in leaf.nodeName():
+            inner = leaf.plan().collectLeaves()
+            todo += [inner.apply(i) for i in range(inner.size())]
+        elif "AdaptiveSparkPlan" in leaf.nodeName():
+            inner = leaf.executedPlan().collectLeaves()
+            todo += [inner.apply(i) for i in range(inner.size())]
+        elif leaf.metrics().contains("numOutputRows"):
+            total += leaf.metrics().apply("numOutputRows").value()
+    return total
+
+
+def test_reads_by_key_open_the_runs_that_may_hold_it(spark, root):
+    e = Engine(spark, root, compact_at=100)
+    e.execute("create database m; create type m.P { a: Int64, b: String, c: Bool }; create table m.p : m.P { primary key (a, b) };")
+    for low in (0, 100, 200):
+        e.insert_frame("m.p", spark.range(low, low + 100, 2).selectExpr("id AS a", "concat('k', id % 3) AS b", "true AS c"))
+    files = lambda df: len(df.inputFiles())
+    whole = files(e.table("m.p"))
+    assert rows(e.get("m.p", (104, "k2"))) == [(104, "k2", True)] and 0 < files(e.get("m.p", (104, "k2"))) < whole
+    assert rows(e.get("m.p", (104, "k0"))) == [] and files(e.get("m.p", (999, "k0"))) == 0
+    want = [(a, f"k{a % 3}", True) for a in range(196, 300, 2) if (a, f"k{a % 3}") >= (196, "k1")]
+    assert rows(e.seek("m.p", (196, "k1"))) == want and files(e.seek("m.p", (200,))) < whole
+    assert len(rows(e.seek("m.p", ()))) == 150
+    # Odd keys lie within the bounds of a run, and its Bloom filters tell that none is there.
+    assert _rows_read(e.get("m.p", (104, "k2"))) > 0 and _rows_read(e.get("m.p", (105, "k0"))) == 0
+
+
 def test_listings_and_prompt(spark, root, capsys):
     e = Engine(spark, root)
     e.execute(USERS)

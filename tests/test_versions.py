@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratum.functions import hlc
-from stratum.functions.sortable import sortable
+from stratum.functions.sortable import sortable, sortable_key, unsorted_key
 from stratum.operators import versions as v
 
 SCHEMA = "key string, value string, _hlc long, _seq long, _kind byte, _op int, run int"
@@ -70,6 +70,23 @@ def test_clock():
     assert hlc.unpack(c.next()) == (9, 10)
 
 
+def test_sortable_keys_are_taken_apart_again(spark):
+    given = [(-(2**63), "", True), (5, "a\0b\0\0", False), (2**63 - 1, "é😀\0", True), (-1, "\x0f\xff0", False), (0, "00FF", True)]
+    kinds = ["String", "Int64", "Bool", "String"]
+    df = spark.createDataFrame(given, "i long, s string, b boolean").select(sortable_key([(F.col(c), k) for c, k in zip("sibs", kinds, strict=True)]).alias("k"))
+    assert [tuple(r) for r in df.select(*unsorted_key(F.col("k"), kinds)).collect()] == [(s, i, b, s) for i, s, b in given]
+    bad = spark.createDataFrame([("",), ("zz",), ("00",), ("0000" + "0" * 16 + "02",)], "k string")
+    assert [r[2] for r in bad.select(*unsorted_key(F.col("k"), kinds)).collect()] == [None] * 4
+
+
+def test_seek_on_a_composite_key(spark):
+    given = [(a, b) for a in range(4) for b in "xyz"]
+    df = spark.createDataFrame(given, "a long, b string")
+    for lower in ((1, "y"), (1,), (3, "z"), (2, "w"), (9, "a"), ()):
+        assert sorted(map(tuple, v.seek(df, ["a", "b"], lower).collect())) == [g for g in given if g >= lower]
+    assert "isnotnull(a" in v.seek(df, ["a", "b"], (1, "y"))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sortable_order(spark):
     ints = [-(2**63), -1000, -1, 0, 1, 1000, 2**63 - 1]
     got = [r.k for r in spark.createDataFrame([(i,) for i in ints], "x long").select(sortable(F.col("x"), "Int64").alias("k")).collect()]
