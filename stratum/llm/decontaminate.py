@@ -20,7 +20,7 @@ shuffle on the hash.
 
 Cases: a null text has no windows and is not contaminated; a null id stays; repeated rows each give a row; items
 that are null or have under LEAST words match nothing; an item shorter than a window is matched whole; an
-empty table or benchmark gives no matches; other columns are not looked at; bytes that are not UTF-8 count as U+FFFD.
+empty table or benchmark gives no matches; other columns are not looked at, but kept by remove_contaminated() whatever their names; bytes that are not UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sound, table
+from .common import cut, free_names, sound, table
 
 WINDOW = 8
 #: Plain words that a window must hold, so that runs of placeholders match nothing.
@@ -285,9 +285,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def _joined(docs: DataFrame, benchmark: DataFrame, how: str, **names) -> DataFrame:
-    hits = cut(contaminated(docs, benchmark, **names)).select(F.col("id").alias("__hit_id"), F.col("text_hash").alias("__hit_hash"), F.col("items").alias("__hit_items"), F.col("changed").alias("__hit_changed"))
+    hit_id, hit_hash = free_names(docs, "__hit_id", "__hit_hash")
+    hits = cut(contaminated(docs, benchmark, **names)).select(F.col("id").alias(hit_id), F.col("text_hash").alias(hit_hash))
     id_col, text_col = names.get("id_col", "doc_id"), names.get("text_col", "text")
-    on = docs[id_col].cast("long").eqNullSafe(F.col("__hit_id")) & (F.xxhash64(docs[text_col]) == F.col("__hit_hash"))
+    on = docs[id_col].cast("long").eqNullSafe(F.col(hit_id)) & (F.xxhash64(docs[text_col]) == F.col(hit_hash))
     return docs.join(hits, on, how)
 
 

@@ -3,7 +3,7 @@
 Cases: a null or empty text has no words and the fingerprint zero; fewer words than a shingle give one
 shingle of all of them; a document with a null id is fingerprinted but is no representative, so it carries
 the component of a document with the same fingerprint, or null; repeated rows are rows of their own in the
-result; an empty table gives an empty result; columns other than the id and the text are not looked at.
+result; an empty table gives an empty result; columns other than the id and the text are not looked at; bytes that are not UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitslice import link
-from .common import cut, hex64, table
+from .common import cut, hex64, sound, table
 from .components import components
 
 #: A group of more rows than this is dealt further: by more key bits, or in tiles.
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
             fp = [fingerprint(shingle_hashes(t.as_py(), words)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["id", "fp"])
 
-    cols = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    cols = docs.select(F.col(id_col).cast("long").alias("id"), sound(text_col).alias("text"))
     return cols.mapInArrow(each, "id long, fp long")
 
 
