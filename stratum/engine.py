@@ -78,10 +78,9 @@ class Engine:
             log = v.seek(log, read.table.keys, lower)
         if upper is not None and upper == lower:
             log = log.where(reduce(Column.__and__, [F.col(k) == F.lit(x) for k, x in zip(read.table.keys, upper, strict=False)]))
-        rows = v.live(v.fold(log, read.table.keys))
+        rows = v.live(v.fold_in_order(log, read.table.keys))
         if read.where is not None:
             rows = rows.where(read.where)
-        rows = v.ordered(rows, read.table.keys)
         return rows.select(*[F.col(f"f{i}").alias(read.record.fields[i][0]) for i in read.columns])
 
     def _write(self, puts: list[tuple[Put, int]]) -> None:

@@ -59,6 +59,15 @@ def test_fold_plan_limits_before_the_shuffle_and_pushes_keys(spark, tmp_path):
     assert "WindowGroupLimit" in plan and "EqualTo(key,a)" in plan
 
 
+def test_a_fold_in_order_takes_one_exchange(spark, tmp_path):
+    given = [(f"k{i * 7919 % 500:03d}", f"v{n}", n, n, 1) for n in range(3) for i in range(500)]
+    log(spark, *given).repartition(6).write.parquet(str(tmp_path / "log"))
+    df = v.live(v.fold_in_order(spark.read.parquet(str(tmp_path / "log")), ["key"]))
+    got = [(r.key, r.value) for r in df.collect()]
+    assert got == [(f"k{i:03d}", "v2") for i in range(500)]
+    assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange") == 1
+
+
 def test_clock():
     times = iter([100, 100, 99, 200])
     c = hlc.Clock(now_ms=lambda: next(times))
