@@ -52,6 +52,22 @@ def drop_cut(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Steps:
+    """Cuts that only serve a later one, to be dropped when that is written."""
+
+    def __init__(self):
+        self._made: list[DataFrame] = []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self._made.append(cut(df))
+        return self._made[-1]
+
+    def drop(self) -> None:
+        for df in self._made:
+            drop_cut(df)
+        self._made = []
+
+
 def sound(c) -> F.Column:
     """A text column that Python can decode: bytes that are not UTF-8 become U+FFFD, all other texts stay as they are."""
     return F.make_valid_utf8(c)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .bitslice import chain_edges, link
-from .common import cut, free_names, sound
+from .common import Steps, cut, free_names, sound
 from .components import components
 from .simhash import fingerprint, shingle_hashes
 
@@ -184,29 +184,29 @@ def _to_pivots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield settle(rows)
 
 
-def settled(sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+def settled(sets: DataFrame, steps: Steps) -> tuple[DataFrame, list[DataFrame]]:
     """(what is left of clusters (root, id, text), edges (a, b) of what was settled): see the module."""
     edges: list[DataFrame] = []
     for turn in range(ROUNDS):
-        sizes = cut(sets.groupBy(F.col("root").alias("b_root")).agg(F.count("*").alias("n")).where(F.col("n") > CLUSTER))
+        sizes = steps.cut(sets.groupBy(F.col("root").alias("b_root")).agg(F.count("*").alias("n")).where(F.col("n") > CLUSTER))
         if sizes.isEmpty():
             break
         big = sets.join(sizes, F.col("root") == F.col("b_root")).drop("b_root")
         order = W.partitionBy("root").orderBy(F.xxhash64("id", F.lit(turn)), "id")
-        names = cut(big.select("root", "id").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= PIVOTS).select(F.col("id").alias("p_id")))
+        names = steps.cut(big.select("root", "id").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= PIVOTS).select(F.col("id").alias("p_id")))
         chunks = F.ceil(F.col("n") / CLUSTER)
         pivots = big.join(names, F.col("id") == F.col("p_id")).select("root", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"), F.lit(True).alias("pivot"), "id", "text")
         dealt = pivots.unionByName(big.select("root", F.pmod(F.xxhash64("id", F.lit("chunk")), chunks).alias("chunk"), F.lit(False).alias("pivot"), "id", "text"))
         dealt = dealt.repartition("root", "chunk").sortWithinPartitions("root", "chunk", F.col("pivot").desc())
-        met = cut(dealt.mapInPandas(_to_pivots, "pivot long, id long, d double"))
+        met = steps.cut(dealt.mapInPandas(_to_pivots, "pivot long, id long, d double"))
         link = F.col("d") <= 1 - SIMILARITY + _EQUAL
         edges.append(met.where(link).select(F.col("pivot").alias("a"), F.col("id").alias("b")))
         bound = met.where(~link).groupBy(F.col("pivot").alias("r_pivot")).agg(F.min("d").alias("r"))
         # Distances beyond those given are more than twice a link's, so r is that at least.
-        near = met.join(cut(bound), F.col("pivot") == F.col("r_pivot"), "left")
+        near = met.join(steps.cut(bound), F.col("pivot") == F.col("r_pivot"), "left")
         gone = near.where((F.col("id") == F.col("pivot")) | (F.col("d") + (1 - SIMILARITY) < F.coalesce("r", F.lit(2 * (1 - SIMILARITY))) - 2 * _EQUAL))
-        gone = cut(gone.select(F.col("id").alias("g_id")).distinct())
-        sets = cut(sets.join(gone, F.col("id") == F.col("g_id"), "left_anti"))
+        gone = steps.cut(gone.select(F.col("id").alias("g_id")).distinct())
+        sets = steps.cut(sets.join(gone, F.col("id") == F.col("g_id"), "left_anti"))
     return sets, edges
 
 
@@ -219,11 +219,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = cut(known.join(clusters, known["id"] == clusters["node"]).select(F.col("id").alias("w_id"), F.col("t").alias("w_t"), "root"))
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), sound(text_col).alias("text"))
     # Rows that repeat an id and a text stand for one.
-    sets = cut(text.join(wanted.hint("merge"), (F.col("id") == F.col("w_id")) & (F.col("t") == F.col("w_t"))).select("root", "id", "text").dropDuplicates(["id"]))
-    left, edges = settled(sets)
+    steps = Steps()
+    sets = steps.cut(text.join(wanted.hint("merge"), (F.col("id") == F.col("w_id")) & (F.col("t") == F.col("w_t"))).select("root", "id", "text").dropDuplicates(["id"]))
+    left, edges = settled(sets, steps)
     dealt = _tiled(left, left, ["root"], CLUSTER).repartition("root", "tile").sortWithinPartitions("root", "tile")
     edges.append(dealt.select("root", "tile", "id", "text").mapInPandas(_verify, "a long, b long"))
     links = components(reduce(DataFrame.unionByName, edges))
+    steps.drop()
     named = cut(nodes.join(links, nodes["id"] == links["node"], "left").select(F.col("s").alias("n_s"), F.coalesce("root", "id").alias("component")))
     return signed.join(named, F.col("s") == F.col("n_s")).select("id", "t", "component")
 

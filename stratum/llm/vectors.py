@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import Steps, cut, table
 from .components import components
 
 COSINE, DOOR = 0.9, 0.8
@@ -264,7 +264,7 @@ def _parts(rows: DataFrame) -> DataFrame:
     return met.withColumn("part", F.pmod(F.xxhash64("id", "shard"), F.col("parts").cast("long")).cast("int"))
 
 
-def flat_graph(nodes: DataFrame, cells: DataFrame, kind: str) -> DataFrame:
+def flat_graph(nodes: DataFrame, cells: DataFrame, kind: str, steps: Steps) -> DataFrame:
     """(id, x, dim, copies, shards, near) of every node: its shards in order, and the lists that it got in them, united."""
 
     def listed(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -274,11 +274,11 @@ def flat_graph(nodes: DataFrame, cells: DataFrame, kind: str) -> DataFrame:
         return pd.DataFrame({"id": ids, "near": pd.Series([ids[g[g >= 0]].tolist() for g in graph], dtype=object)})
 
     shards = cells.groupBy(F.col("id").alias("h_id")).agg(F.sort_array(F.collect_set("shard")).alias("shards"))
-    placed = cut(nodes.join(shards, F.col("id") == F.col("h_id")).drop("h_id"))
+    placed = steps.cut(nodes.join(shards, F.col("id") == F.col("h_id")).drop("h_id"))
     dealt = _parts(placed.select("dim", F.explode("shards").alias("shard"), "id", "x"))
     near = dealt.groupBy("dim", "shard", "part").applyInPandas(listed, "id long, near array<long>")
     united = near.groupBy(F.col("id").alias("u_id")).agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    return cut(placed.join(united, F.col("id") == F.col("u_id")).drop("u_id"))
+    return steps.cut(placed.join(united, F.col("id") == F.col("u_id")).drop("u_id"))
 
 
 def _padded(lists) -> np.ndarray:
@@ -484,9 +484,10 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     overlap = next((k for k in range(OVERLAP, MORE) if (sums[k] or 0) >= TARGET * true), MORE)
     keep = ["id", "x", "dim", "copies"]
     cells = nodes.select("id", "dim").join(near.withColumnRenamed("id", "c_id"), F.col("id") == F.col("c_id")).select("dim", F.explode(F.slice("near", 1, overlap)).alias("shard"), "id")
-    graph = flat_graph(nodes.select(*keep), cut(_divided(cut(cells), nodes, overlap, kind)), kind)
-    counts, edges = links(graph, kind)
-    counts, edges = cut(counts), cut(edges)
+    steps = Steps()
+    graph = flat_graph(nodes.select(*keep), steps.cut(_divided(steps.cut(cells), nodes, overlap, kind)), kind, steps)
+    counts, edges = map(cut, links(graph, kind))
+    steps.drop()
 
     def recall() -> float | None:
         got = truth.join(counts.withColumnRenamed("id", "f_id"), F.col("id") == F.col("f_id")).agg(F.sum(F.least("links", "others"))).first()[0] or 0

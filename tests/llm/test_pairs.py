@@ -10,6 +10,7 @@ import pytest
 import xxhash
 
 from stratum.llm import bitslice, neardup, simhash, vectors
+from stratum.llm.common import Steps
 from stratum.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -135,7 +136,7 @@ def test_close_groups_are_settled_by_pivots(spark, monkeypatch):
             w[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
         sets.append((1, i, " ".join(w)))
     df = spark.createDataFrame(sets, "root long, id long, text string")
-    left, edges = neardup.settled(df)
+    left, edges = neardup.settled(df, Steps())
     rest = {r.id for r in left.collect()}
     linked = [(r.a, r.b) for e in edges for r in e.collect()]
     texts = {i: t for _, i, t in sets}
