@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, cut, drop_cut, free_names, table
+from .common import WORD, Steps, cut, drop_cut, free_names, table
 
 #: Words that a repeated run must hold.
 MIN_WORDS = 50
@@ -41,14 +41,14 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return keyed.select("d", "t", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), "line")
 
 
-def _repeated(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _repeated(docs: DataFrame, id_col: str, text_col: str, steps: Steps) -> DataFrame:
     """(d, t, pos, w, r) of the lines that occur twice or more, r being the line's rank among them."""
     lines = _lines(docs, id_col, text_col)
     ids = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").orderBy("h1", "h2")
-    ids = cut(ids.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.monotonically_increasing_id().alias("r")))
+    ids = steps.cut(ids.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.monotonically_increasing_id().alias("r")))
     words = F.regexp_count("line", F.lit(WORD)).cast("long")
     met = lines.select("d", "t", "pos", "h1", "h2", words.alias("w")).join(ids.hint("merge"), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
-    return cut(met.select("d", "t", "pos", "w", "r").distinct())
+    return steps.cut(met.select("d", "t", "pos", "w", "r").distinct())
 
 
 def _stretches(rows: DataFrame, min_words: int) -> DataFrame:
@@ -81,14 +81,14 @@ def _shortest(rows: DataFrame, min_words: int) -> DataFrame:
     return begun.unionByName(ended).distinct()
 
 
-def _doubled(ranks: DataFrame, step: int) -> DataFrame:
+def _doubled(ranks: DataFrame, step: int, steps: Steps) -> DataFrame:
     """Ranks (d, t, s, pos, r) for runs of 2 * step lines from those for step lines; a run must stay in its stretch."""
     ahead = W.partitionBy("d", "t", "s").orderBy("pos").rangeBetween(step, step)
     pairs = cut(ranks.withColumn("q", F.max("r").over(ahead)).where("q IS NOT NULL"))
     names = pairs.groupBy("r", "q").agg(F.lit(1).alias("one")).orderBy("r", "q")
     names = cut(names.select(F.col("r").alias("r1"), F.col("q").alias("q1"), F.monotonically_increasing_id().alias("rank")))
     out = pairs.join(names, (F.col("r") == F.col("r1")) & (F.col("q") == F.col("q1")))
-    out = cut(out.select("d", "t", "s", "pos", F.col("rank").alias("r")))
+    out = steps.cut(out.select("d", "t", "s", "pos", F.col("rank").alias("r")))
     drop_cut(pairs)
     drop_cut(names)
     return out
@@ -98,10 +98,11 @@ def _same(left: str, right: str):
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in ("d", "t")])
 
 
-def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", steps: Steps | None = None) -> DataFrame:
     """(d, t, gone array<struct<pos,stop>>): for each document that loses lines, the stretches of them, stop exclusive."""
-    stretched = cut(_stretches(_repeated(docs, id_col, text_col), min_words))
-    runs = cut(_shortest(stretched, min_words))
+    steps = steps or Steps()
+    stretched = steps.cut(_stretches(_repeated(docs, id_col, text_col, steps), min_words))
+    runs = steps.cut(_shortest(stretched, min_words))
     longest = runs.agg(F.max("n")).first()[0] or 0
     ranks = stretched.select("d", "t", "s", "pos", "r")
     parts = []
@@ -114,12 +115,12 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
         parts.append(named.select("x.d", "x.t", "x.pos", "x.n", F.lit(step).alias("k"), F.col("a.r").alias("ra"), F.col("z.r").alias("rz")))
         step *= 2
         if step <= longest:
-            ranks = _doubled(ranks, step // 2)
+            ranks = _doubled(ranks, step // 2, steps)
     if not parts:
         return _islands(stretched.limit(0).select("d", "t", "pos", F.col("pos").alias("stop")))
-    named = cut(reduce(DataFrame.unionByName, parts))
+    named = steps.cut(reduce(DataFrame.unionByName, parts))
     first = named.groupBy("n", "k", "ra", "rz").agg(F.min(F.struct(*_POS)).alias("first"), F.count("*").alias("times")).where("times > 1")
-    first = cut(first.select(F.col("n").alias("fn"), F.col("k").alias("fk"), F.col("ra").alias("fa"), F.col("rz").alias("fz"), "first"))
+    first = steps.cut(first.select(F.col("n").alias("fn"), F.col("k").alias("fk"), F.col("ra").alias("fa"), F.col("rz").alias("fz"), "first"))
     same = (F.col("n") == F.col("fn")) & (F.col("k") == F.col("fk")) & (F.col("ra") == F.col("fa")) & (F.col("rz") == F.col("fz"))
     later = named.join(first, same).where(F.struct(*_POS) != F.col("first"))
     return _islands(later.select("d", "t", "pos", (F.col("pos") + F.col("n")).alias("stop")))
@@ -150,8 +151,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     """docs with the later copies taken out of the text; count_col is added with the number of lines deleted, and
     length_col, a column of docs, is set to the new length where the text changed."""
     d, t, lost = free_names(docs, "__d", "__t", "__gone")
-    gone = cut(deleted_lines(docs, min_words, id_col, text_col)).toDF(d, t, lost)
-    joined = docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(F.col(d)) & (F.xxhash64(docs[text_col]) == F.col(t)), "left")
+    steps = Steps()
+    gone = cut(deleted_lines(docs, min_words, id_col, text_col, steps)).toDF(d, t, lost)
+    steps.drop()
+    joined = docs.join(gone.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col(d)) & (F.xxhash64(docs[text_col]) == F.col(t)), "left")
     new = F.when(F.col(lost).isNull(), docs[text_col]).otherwise(_kept_text(docs[text_col], F.col(lost)))
     out = []
     for c in docs.columns:
