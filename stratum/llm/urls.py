@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import cut, sound, table
 
 TOKEN = re.compile(r"[a-z0-9]+")
+#: Characters of rules up to which their table goes to every task; larger tables are joined by a shuffle, whose hot tokens Spark can split.
+SENT = 8_000_000
 
 
 @dataclass(frozen=True)
@@ -176,11 +178,16 @@ def split_columns(url):
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
+def sent(rules: DataFrame, everything: Sequence[Rule]) -> DataFrame:
+    """A table of at most a row for each rule and token, marked to go to every task if the rules are small, which is known here."""
+    return F.broadcast(rules) if sum(64 + 3 * len(r.regex()) for r in everything) <= SENT else rules
+
+
 def filed(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """(token, n) of the rules with literal tokens: each under that of its own which the fewest of the urls (host, path, tokens,
     times) hold. Only tokens that rules have are counted."""
     own = urls.sparkSession.createDataFrame([(t, n) for n, r in enumerate(rules) for t in literals(r.regex())], "token string, n int")
-    counts = urls.select(F.explode("tokens").alias("t"), "times").join(own.select("token").distinct(), F.col("t") == F.col("token")).groupBy("t").agg(F.sum("times").alias("urls"))
+    counts = urls.select(F.explode("tokens").alias("t"), "times").join(sent(own.select("token").distinct(), rules), F.col("t") == F.col("token")).groupBy("t").agg(F.sum("times").alias("urls"))
     met = own.join(counts, F.col("token") == F.col("t"), "left")
     return met.groupBy("n").agg(F.min(F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), "token")).alias("best")).select(F.col("best.token").alias("token"), "n")
 
@@ -216,7 +223,7 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule] = SITE_RULES, patterns: S
     known = urls.sparkSession.createDataFrame(rows, _RULE)
     told = filed(urls, everything).join(known.withColumnRenamed("n", "k"), F.col("n") == F.col("k")).select("token", F.struct("n", "general", "action", "name", "regex").alias("r"))
     always = [dict(zip(("n", "general", "action", "name", "regex"), r, strict=True)) for r in rows if not literals(r[4])]
-    near = urls.select("host", "path", F.explode("tokens").alias("t")).join(told, F.col("t") == F.col("token"))
+    near = urls.select("host", "path", F.explode("tokens").alias("t")).join(sent(told, everything), F.col("t") == F.col("token"))
     near = near.groupBy(F.col("host").alias("n_host"), F.col("path").alias("n_path")).agg(F.collect_list("r").alias("near"))
     tried = urls.join(near, (F.col("host") == F.col("n_host")) & (F.col("path") == F.col("n_path")), "left").select("host", "path", "near")
 

@@ -146,7 +146,9 @@ def test_literal_tokens_stand_in_every_fitting_url():
                 assert set(urls.literals(pattern)) <= set(urls.TOKEN.findall(text)), (pattern, text)
 
 
-def test_many_rules_match_brute_force(spark):
+@pytest.mark.parametrize("sent", [urls.SENT, 0])
+def test_many_rules_match_brute_force(spark, monkeypatch, sent):
+    monkeypatch.setattr(urls, "SENT", sent)
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcde") for _ in range(3))
     sites = [urls.Rule(rng.choice(["allow", "block"]), f"{word()}.{rng.choice(['net', 'org'])}", f"/{word()}") for _ in range(3000)]
