@@ -57,6 +57,8 @@ DEGREE, NEAR, SLACK = 16, 48, 1.2
 BEAM = 24
 #: Ids divisible by this are audited, so many in a block; the share of links wanted within common cells, and the recall below which all is compared.
 EVERY, ASKED, TARGET, LEAST = 50, 16384, 0.985, 0.9
+#: Entries of an array that a task works on at once: scores, edges that are followed, components of the vectors of pairs.
+HELD = 1 << 20
 
 
 def usable(v) -> bool:
@@ -238,23 +240,25 @@ def range_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, queries:
     todo[:, starts] = True
     width = min(beam, n)
     edge = np.float32(least - 1e-4)
+    lists, pairs = max(1, HELD // graph.shape[1]), max(1, HELD // x.shape[1])
     while True:
         bar = np.partition(score, n - width, axis=1)[:, n - width] if width < n else np.full(m, -2, np.float32)
         a, b = np.nonzero(todo & (score >= np.minimum(bar, edge)[:, None]))
         if not len(a):
             return score
         todo[a, b] = False
-        to = graph[b]
-        row, to = np.repeat(a, to.shape[1]), to.ravel()
-        keep = to >= 0
-        row, to = row[keep], to[keep]
-        fresh = score[row, to] == -2
-        flat = np.unique(row[fresh] * n + to[fresh])
-        row, to = flat // n, flat % n
-        for at in range(0, len(row), 1 << 17):
-            r, t = row[at : at + (1 << 17)], to[at : at + (1 << 17)]
-            score[r, t] = np.maximum(np.einsum("ij,ij->i", q32[r], x32[t]), -1.5)
-        todo[row, to] = True
+        for first in range(0, len(a), lists):  # in a dense group all is expanded: the lists of so many at once
+            to = graph[b[first : first + lists]]
+            row, to = np.repeat(a[first : first + lists], to.shape[1]), to.ravel()
+            keep = to >= 0
+            row, to = row[keep], to[keep]
+            fresh = score[row, to] == -2
+            flat = np.unique(row[fresh] * n + to[fresh])
+            row, to = flat // n, flat % n
+            for at in range(0, len(row), pairs):
+                r, t = row[at : at + pairs], to[at : at + pairs]
+                score[r, t] = np.maximum(np.einsum("ij,ij->i", q32[r], x32[t]), -1.5)
+            todo[row, to] = True
 
 
 def _parts(rows: DataFrame) -> DataFrame:
@@ -312,6 +316,16 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return pick, label[pick]
 
 
+def _linked(x: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows are links, in double precision."""
+    step = max(1, HELD // x.shape[1])
+    out = np.zeros(len(row), bool)
+    for at in range(0, len(row), step):
+        r, c = row[at : at + step], col[at : at + step]
+        out[at : at + step] = (np.einsum("ij,ij->i", x[r], x[c]) >= COSINE) & (r != c)
+    return out
+
+
 _FOUND = "id long, others long, to long, doors array<int>"
 
 
@@ -319,10 +333,11 @@ def searched(kind: str, exact: bool):
     """The task of a tile: rows of two parts of a shard, or of one, and queries from other shards.
 
     role is 0 for a member and 1 for a query from elsewhere; shards, past and now are a row's shards, the doors of earlier
-    rounds and those of this one. Gives a row (id, others, ...) for every count, (id, to) for every edge of the forest and
+    rounds and those of this one. Queries go by slices, so that a tile where all is linked takes no more memory than the scores
+    of a slice and a byte for each pair of members. Gives a row (id, others, ...) for every count, (id, to) for every edge of the forest and
     (id, doors) for every query that has new ones."""
 
-    cosine, door = COSINE, DOOR
+    cosine, door, held = COSINE, DOOR, HELD
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["role", "id"])
@@ -334,42 +349,57 @@ def searched(kind: str, exact: bool):
         asking = np.arange(own) if own == len(ids) else np.arange(own, len(ids))
         if not own:
             return pd.DataFrame({"id": [], "others": [], "to": [], "doors": []}).astype({"id": "int64", "others": "int64", "to": "Int64", "doors": object})
-        if exact:
-            score = x[asking].astype(np.float32) @ x[:own].T.astype(np.float32)
-        else:
+        if not exact:
             place = {int(i): k for k, i in enumerate(ids[:own])}
             graph = _padded([[place[int(t)] for t in near if int(t) in place] for near in pdf["near"].iloc[:own]])
             starts = np.array([np.nonzero(part[:own] == p)[0][medoid(x[:own][part[:own] == p])] for p in np.unique(part[:own])])
-            score = range_search(x[:own], graph, starts, x[asking], cosine)
-        row, col = np.nonzero(score >= cosine - 1e-4)
-        row = asking[row]
-        right = (np.einsum("ij,ij->i", x[row], x[col]) >= cosine) & (row != col)
-        row, col = row[right], col[right]
-        a, b = _forest(row, col, len(ids))
-        out = [pd.DataFrame({"id": ids[a], "others": 0, "to": ids[b]})]
-        if own == len(ids):  # a link is one of the two rows, whichever of them found it, and of the two parts where there are two
-            flat = np.unique(np.minimum(row, col) * own + np.maximum(row, col))
-            row, col = flat // own, flat % own
-            across = (part[row] != part[col]) | (len(np.unique(part)) == 1)
-            row, col = row[across], col[across]
-            first = _least_common(home[row], home[col])
-        else:
-            new = (_least_common(home[row], home[col]) > 1 << 40) & (_least_common(past[row], home[col]) > 1 << 40) & (_least_common(home[row], past[col]) > 1 << 40)
-            row, col = row[new], col[new]
-            first = np.minimum(_least_common(now[row], home[col]), _least_common(home[row], now[col]))
-        row, col = row[first == shard], col[first == shard]
-        others = np.bincount(row, copies[col], len(ids)) + np.bincount(col, copies[row], len(ids))
-        pick = np.nonzero(others)[0]
-        out.append(pd.DataFrame({"id": ids[pick], "others": others[pick].astype(np.int64), "to": None}))
+        among, single = own == len(ids), len(np.unique(part)) == 1
+        met = np.zeros((own, own), bool) if among else None
+        others = np.zeros(len(ids))
+        a = b = np.zeros(0, np.int64)
         doors = []
-        if not exact:
-            for k in range(len(asking)):
-                q = asking[k]
-                near = np.nonzero(score[k] >= door)[0]
-                if len(near) > 1 or (len(near) and near[0] != q):
-                    new = np.setdiff1d(home[near].ravel(), np.r_[-1, shard, home[q], past[q], now[q]])
-                    if len(new):
-                        doors.append((ids[q], new.tolist()))
+        step, pairs = max(1, held // own), max(1, held // max(m.shape[1] for m in (home, past, now)))
+
+        def count(row: np.ndarray, col: np.ndarray) -> None:
+            for at in range(0, len(row), pairs):
+                r, c = row[at : at + pairs], col[at : at + pairs]
+                if among:  # of the two parts where there are two
+                    across = (part[r] != part[c]) | single
+                    r, c = r[across], c[across]
+                    first = _least_common(home[r], home[c])
+                else:
+                    new = (_least_common(home[r], home[c]) > 1 << 40) & (_least_common(past[r], home[c]) > 1 << 40) & (_least_common(home[r], past[c]) > 1 << 40)
+                    r, c = r[new], c[new]
+                    first = np.minimum(_least_common(now[r], home[c]), _least_common(home[r], now[c]))
+                r, c = r[first == shard], c[first == shard]
+                others[:] += np.bincount(r, copies[c], len(ids)) + np.bincount(c, copies[r], len(ids))
+
+        for at in range(0, len(asking), step):
+            mine = asking[at : at + step]
+            score = x[mine].astype(np.float32) @ x[:own].T.astype(np.float32) if exact else range_search(x[:own], graph, starts, x[mine], cosine)
+            row, col = np.nonzero(score >= cosine - 1e-4)
+            row = mine[row]
+            right = _linked(x, row, col)
+            row, col = row[right], col[right]
+            a, b = _forest(np.r_[a, row], np.r_[b, col], len(ids))
+            if among:
+                met[row, col] = True
+            else:
+                count(row, col)
+            if not exact:
+                for k, q in enumerate(mine):
+                    near = np.nonzero(score[k] >= door)[0]
+                    if len(near) > 1 or (len(near) and near[0] != q):
+                        new = np.setdiff1d(home[near].ravel(), np.r_[-1, shard, home[q], past[q], now[q]])
+                        if len(new):
+                            doors.append((ids[q], new.tolist()))
+        if among:  # a link is one of the two rows, whichever of them found it
+            met |= met.T
+            for at in range(0, own, step):
+                row, col = np.nonzero(np.triu(met[at : at + step], at + 1))
+                count(row + at, col)
+        pick = np.nonzero(others)[0]
+        out = [pd.DataFrame({"id": ids[a], "others": 0, "to": ids[b]}), pd.DataFrame({"id": ids[pick], "others": others[pick].astype(np.int64), "to": None})]
         out.append(pd.DataFrame({"id": [i for i, _ in doors], "others": 0, "to": None, "doors": [d for _, d in doors]}))
         return pd.concat([pd.DataFrame({c: o[c] if c in o else pd.Series([None] * len(o), dtype=object) for c in ("id", "others", "to", "doors")}).astype({"id": "int64", "others": "int64", "to": "Int64"}) for o in out])
 
@@ -417,6 +447,27 @@ def links(graph: DataFrame, kind: str, exact: bool = False) -> tuple[DataFrame,
     return reduce(DataFrame.unionByName, counts).groupBy("id").agg(F.sum("others").alias("others")), reduce(DataFrame.unionByName, edges)
 
 
+def _audited(names: np.ndarray, q: np.ndarray, cells: np.ndarray, ids: np.ndarray, x: np.ndarray, copies: np.ndarray, theirs: np.ndarray, more: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each audited node: its links among the rows x, and how many of them share a cell for each overlap. Summed
+    here, in slices, as a dense group has far more links than vectors."""
+    step, pairs, wide = max(1, HELD // len(x)), max(1, HELD // more), min(cells.shape[1], theirs.shape[1])
+    links, within = np.zeros(len(names), np.int64), np.zeros((len(names), more), np.int64)
+    for at in range(0, len(names), step):
+        row, col = np.nonzero(q[at : at + step] @ x.T >= COSINE)
+        row = row + at
+        other = names[row] != ids[col]
+        row, col = row[other], col[other]
+        for first in range(0, len(row), pairs):
+            r, c = row[first : first + pairs], col[first : first + pairs]
+            np.add.at(links, r, copies[c])
+            seen = np.zeros(len(r), bool)
+            for k in range(more):  # links that share a cell among the first k + 1 of each
+                if k < wide:
+                    seen |= (cells[r, : k + 1] == theirs[c, k][:, None]).any(axis=1) | (theirs[c, : k + 1] == cells[r, k][:, None]).any(axis=1)
+                np.add.at(within[:, k], r, seen * copies[c])
+    return links, within
+
+
 def audit(nodes: DataFrame, near: DataFrame, kind: str) -> DataFrame:
     """(id, links, within array<long>) of the audited nodes: their links with other nodes, copies counted, among all,
     and how many of them share a cell for each overlap up to MORE."""
@@ -425,7 +476,7 @@ def audit(nodes: DataFrame, near: DataFrame, kind: str) -> DataFrame:
     total = asked.count()
     blocks = max(1, -(-total // ASKED))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(blocks)))
-    cosine, more = COSINE, MORE
+    more = MORE
     out = []
     for block in range(blocks if total else 0):
         mine = asked.where(F.col("block") == block).select("id", "x", "dim", "near").collect()
@@ -442,22 +493,14 @@ def audit(nodes: DataFrame, near: DataFrame, kind: str) -> DataFrame:
                         continue
                     names, q, cells = sent.value[int(dim)]
                     ids, x, copies, theirs = part["id"].to_numpy(), _matrix(part["x"], kind), part["copies"].to_numpy(), _padded(list(part["near"]))
-                    for at in range(0, len(names), 1024):
-                        row, col = np.nonzero(q[at : at + 1024] @ x.T >= cosine)
-                        row = row + at
-                        other = names[row] != ids[col]
-                        row, col = row[other], col[other]
-                        if len(row):
-                            met = np.zeros((len(row), more), np.int64)
-                            seen = np.zeros(len(row), bool)
-                            for k in range(more):  # links that share a cell among the first k + 1 of each
-                                if k < cells.shape[1] and k < theirs.shape[1]:
-                                    seen |= (cells[row, : k + 1] == theirs[col, k][:, None]).any(axis=1) | (theirs[col, : k + 1] == cells[row, k][:, None]).any(axis=1)
-                                met[:, k] = seen * copies[col]
-                            yield pd.DataFrame({"id": names[row], "links": copies[col], "within": list(met)})
+                    links, within = _audited(names, q, cells, ids, x, copies, theirs, more)
+                    pick = np.nonzero(links)[0]
+                    if len(pick):
+                        yield pd.DataFrame({"id": names[pick], "links": links[pick], "within": list(within[pick])})
 
         sums = [F.sum(F.col("within")[k]) for k in range(MORE)]
         out.append(cut(cells.select("id", "x", "dim", "copies", "near").mapInPandas(each, "id long, links long, within array<long>").groupBy("id").agg(F.sum("links").alias("links"), F.array(*sums).alias("within"))))
+        sent.destroy()
     if not out:
         return nodes.sparkSession.createDataFrame([], "id long, links long, within array<long>")
     return reduce(DataFrame.unionByName, out)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -252,3 +254,36 @@ def test_graph_search_recall():
     found = vectors.range_search(x, vectors.build(x), np.array([vectors.medoid(x)]), x, 0.9) >= 0.9
     true = x @ x.T >= 0.9
     assert found.sum() >= 0.9 * true.sum() and not (found & (x @ x.T < 0.8999)).any()
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_a_tile_where_all_is_linked_takes_bounded_memory(exact):
+    """1,200 vectors that are all linked: 1.4 million pairs, whose vectors would take 1.4 GB at once."""
+    n, rng = 1200, np.random.default_rng(8)
+    x = (rng.normal(size=64) + 0.1 * rng.normal(size=(n, 64))).astype(np.float32)
+    none, copies = [np.array([], np.int32)] * n, 1 + np.arange(n) % 3
+    near = [g[g >= 0].tolist() for g in vectors.build(vectors.units(x))]
+    rows = pd.DataFrame({"dim": 64, "shard": 3, "tile": 0, "part": 0, "role": 0, "id": np.arange(n), "x": [v.tobytes() for v in x], "copies": copies})
+    rows = rows.assign(shards=[np.array([3, 7 + k % 2]) for k in range(n)], past=none, now=none, near=near)
+    tracemalloc.start()
+    out = vectors.searched("f4", exact)(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    assert (out.groupby("id")["others"].sum().to_numpy() == copies.sum() - copies).all()
+    assert out["to"].dropna().eq(0).all() and out["to"].notna().sum() == n - 1
+
+
+def test_audit_sums_the_links_of_a_dense_group_in_bounded_memory():
+    n, rng = 2400, np.random.default_rng(9)
+    x = vectors.units(rng.normal(size=64) + 0.1 * rng.normal(size=(n, 64)))
+    ids, copies, cells = np.arange(n), 1 + np.arange(n) % 3, np.stack([np.arange(n) % 2, 2 + np.arange(n) % 3], axis=1)
+    tracemalloc.start()
+    links, within = vectors._audited(ids[::2], x[::2], cells[::2], ids, x, copies, cells, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    assert (links == copies.sum() - copies[::2]).all()
+    first = copies[::2].sum() - copies[::2]  # the first cell is that of the even ids
+    either = np.array([copies[(cells == cells[i]).any(axis=1)].sum() - copies[i] for i in ids[::2]])
+    assert (within == np.stack([first, either, either, either], axis=1)).all()
